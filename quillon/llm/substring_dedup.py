@@ -171,6 +171,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     # 1. high-level symbols; those of more than one text may be repeats
     symbols = written(keyed.mapInArrow(_occurrences(window), "key long, k1 long, doc_id long, start int, n int"), "symbols")
     shared = symbols.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("key")
+    shared = written(shared, "shared")  # a table, so that both sides of the join are plain exchanges and a frequent key can be split
     firsts = keyed.groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
     spans = (
         symbols.join(shared, "key", "left_semi")
@@ -181,6 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     # 2. their windows, matched in full with the smallest doc_id of each
     windows = written(keyed.join(spans.hint("shuffle_hash"), ["k1", "doc_id"]).mapInArrow(_windows(window), "window long, k1 long, doc_id long, p int"), "windows")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    first = written(first.drop("last_doc"), "first")
     hits = windows.join(first, "window").where("first_doc < doc_id").groupBy("k1", "doc_id").agg(F.collect_set("p").alias("hits"))
     hits = written(hits, "hits")
     # 3. the cut; k2 tells texts apart that k1 confuses
