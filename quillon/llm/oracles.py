@@ -11,3 +11,32 @@ kept AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(ats), 0) AS r,
   FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(k) AS kept_sha256 FROM kept
 """
+
+op6_mixing = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM s),
+x AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1]::BIGINT AS wt, ss * 3 AS most FROM w),
+y AS (SELECT *, row_number() OVER o AS rank,
+  (sum(ss) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
+  (sum(wt) OVER () - coalesce(sum(wt) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS share
+  FROM x WINDOW o AS (ORDER BY most / wt, place)),
+f AS (SELECT rank AS frank, rest AS frest, share AS fshare FROM y WHERE rest * wt <= most * share ORDER BY rank LIMIT 1),
+t AS (SELECT source, ss, CASE WHEN rank >= frank THEN (wt * frest)::DOUBLE / fshare ELSE most::DOUBLE END AS target FROM y, f),
+p AS (SELECT doc_id, size, ss, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, floor(target + 0.5)::BIGINT AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN ss > 0 THEN budget // ss ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size, ss AS source_size, target, (epochs * size + least(greatest(budget - epochs * ss - before, 0), size))::BIGINT AS taken FROM e
+"""
+
+op8_url_filter = r"""
+WITH a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS after FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, CASE
+  WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+  WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+  WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+  WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM b)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(host, '(^|[^a-z0-9])(adult|adserver|bet|bets|betting|bingo|casino|casinos|doubleclick|escort|escorts|gambling|jackpot|lottery|payday|phishing|pills|poker|porn|sex|slots|spam|torrent|viagra|warez|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM c
+"""

@@ -173,18 +173,39 @@ def sampled_labels(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Trees | None:
     """Trees fitted to a bounded sample; None where it has a single class."""
     chosen = F.broadcast(sampled_labels(labels, limit))  # `limit` rows at most
-    got = statistics(docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id")).join(chosen, "doc_id").drop("score").orderBy("doc_id", *COUNTS).toPandas()
+    got = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id"), "doc_id"))
+    got = got.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c")).join(chosen, "doc_id").select("doc_id", "quality", "c.*").toPandas().sort_values("doc_id")
     if got.quality.nunique() < 2:
         return None
     return Trees().fit(features({c: got[c].to_numpy() for c in COUNTS}), (got.quality > 0).to_numpy(float), list(FEATURES.values()))
 
 
+def _kept(threshold: float):
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return base, ~base & F.coalesce(F.col("score") >= threshold, F.lit(True))
+
+
+def keep(docs: DataFrame, trees: Trees | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, with all columns of docs as they were; each row is judged by its own text, in place."""
+
+    def run(batches):
+        for b in batches:
+            offs, raw = text_buffers(b.column("text"))
+            for i, j in row_slices(offs):
+                c = counts(offs[i : j + 1] - offs[i], raw[offs[i] : offs[j]])
+                ok = (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
+                if trees:
+                    ok &= trees.probability(features(c)) >= threshold
+                yield b.slice(i, j - i).filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = SAMPLE) -> DataFrame:
     """A row for each row of docs: doc_id, the COUNTS, score, base_failed and kept.
 
     base_failed: fewer than 50 words, or words of repeated 3-word windows are over half of all. kept: not base_failed, and the trees' score is
     `threshold` or more. Null and empty texts have no words and fail. Without labels of both classes there is no score, and the base rules decide alone.
     """
-    out = statistics(docs, train(docs, labels, limit))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True)))
+    base, kept = _kept(threshold)
+    return statistics(docs, train(docs, labels, limit)).withColumn("base_failed", base).withColumn("kept", kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, quality_rules
+from . import bpe, html_text, media, mixing, quality_cnn, quality_rules, secrets, url_filter
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .util import table
@@ -36,8 +36,31 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda name: F.size(F.filter("base", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_quality_rules, op4_simhash, op5_media)}
+    ops = (op1_substring_dedup, op2_bpe, op3_quality_rules, op4_simhash, op5_media, op6_mixing, op7_html_text, op8_url_filter, op9_secrets, op10_quality_cnn)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql():

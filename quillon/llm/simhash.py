@@ -16,8 +16,9 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .util import row_slices, text_buffers, written
@@ -217,3 +218,27 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
     named = member.join(low, "root").select("fp", "component_id")
     return own.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """A row of docs, all columns, for each group of near-duplicates: one of the group's smallest doc_id, of several the one of least text hash.
+
+    A group of null doc_ids alone keeps one row for each fingerprint. Equal rows count as one.
+    """
+    near = near_duplicates(docs, radius, shingle)
+    key = F.xxhash64("s_id", "s_fp")
+    chosen = near.where("doc_id <=> component_id").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("s_fp"))
+    chosen = chosen.select(F.col("component_id").alias("s_id"), "s_fp").select("s_id", "s_fp", key.alias("s_key"))
+
+    def run(batches):
+        for b in batches:
+            offs, raw = text_buffers(b.column("text"))
+            fp = np.array([fingerprint(raw[offs[i] : offs[i + 1]].tobytes(), shingle) for i in range(len(b))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "s_fp"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("s_fp", T.LongType())])
+    rows = docs.mapInArrow(run, schema).withColumn("s_id", F.col("doc_id").cast("long")).withColumn("s_key", key)
+    rows = rows.join(chosen.withColumnsRenamed({"s_id": "c_id", "s_fp": "c_fp"}).hint("shuffle_hash"), "s_key").where("s_fp = c_fp and s_id <=> c_id")
+    # rows of one id and fingerprint: one is left
+    nth = F.row_number().over(Window.partitionBy("s_key").orderBy(F.xxhash64("text")))
+    return rows.withColumn("s_nth", nth).where("s_nth = 1").select(*docs.columns)
