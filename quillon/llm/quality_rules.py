@@ -46,7 +46,7 @@ def counts(offsets: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
     ends = np.flatnonzero(raw == 10)
     start = np.unique(np.r_[offsets[:-1], ends + 1])
     start = start[start < len(raw)]
-    stop = np.r_[start[1:], len(raw)]
+    stop = np.r_[start, len(raw)][1:]
     stop = stop - (raw[stop - 1] == 10)
     ink = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(~_WS[raw], out=ink[1:])

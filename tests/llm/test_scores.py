@@ -51,6 +51,8 @@ def test_quality_rules(spark):
     kept = quality_rules.keep(docs(spark, rows), trees).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter((r.doc_id, text[r.doc_id]) for r in got if r.kept)
     assert quality_rules.judge(docs(spark, []), labels.limit(0)).collect() == []
+    empty = quality_rules.judge(docs(spark, [(1, None, None), (2, "", None)]).coalesce(1), labels.limit(0)).collect()
+    assert [(r.n_words, r.score, r.base_failed, r.kept) for r in empty] == [(0, None, True, False)] * 2
 
 
 def test_trees_are_monotonic():
