@@ -24,18 +24,30 @@ def with_height(df: DataFrame, *order: str, start: int = 0, rows_per_range: int
 
 
 def fold_groups(df: DataFrame, key: str, order: str, amount: str) -> DataFrame:
-    """A running set of unspent amounts per key, as a stateful fold over each key's rows in order: last state and rejected steps."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rejected = 0.0, 0
-        for x in pdf.sort_values(order)[amount]:
-            if state + x < 0:
-                rejected += 1
-            else:
-                state += x
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "steps": [len(pdf)], "rejected": [rejected], "state": [round(state, 4)]})
-
-    return df.select(key, order, amount).groupBy(key).applyInPandas(fold, f"{key} {dict(df.dtypes)[key]}, steps long, rejected long, state double")
+    """A running set of unspent amounts per key, as a stateful fold over each key's rows in order: last state and rejected steps.
+
+    Rows are sorted by Spark and stream through the fold: a key of any size is held as its state alone."""
+
+    def fold(frames):
+        at, steps, rejected, state = None, 0, 0, 0.0
+        done = []
+        for pdf in frames:
+            for k, x in zip(pdf[key].tolist(), pdf[amount].tolist(), strict=True):
+                if steps and k != at:
+                    done.append((at, steps, rejected, round(state, 4)))
+                    steps, rejected, state = 0, 0, 0.0
+                at, steps = k, steps + 1
+                if state + x < 0:
+                    rejected += 1
+                else:
+                    state += x
+            yield pd.DataFrame(done, columns=[key, "steps", "rejected", "state"])
+            done = []
+        if steps:
+            yield pd.DataFrame([(at, steps, rejected, round(state, 4))], columns=[key, "steps", "rejected", "state"])
+
+    rows = df.select(key, order, amount).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInPandas(fold, f"{key} {dict(df.dtypes)[key]}, steps long, rejected long, state double")
 
 
 def verdict_match(df: DataFrame, a: Column, b: Column) -> DataFrame:
