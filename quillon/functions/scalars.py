@@ -56,6 +56,55 @@ def first_time(docs: pd.Series) -> pd.Series:
     return docs.map(one).astype("float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def first_number(docs: pd.Series) -> pd.Series:
+    """The first number between 0 and a million (both left out) in document order, at any depth; null for no JSON."""
+
+    def one(s):
+        try:
+            stack = [json.loads(s)]
+        except (TypeError, ValueError):
+            return None
+        while stack:
+            x = stack.pop()
+            if isinstance(x, (int, float)) and not isinstance(x, bool) and 0 < x < 1e6:
+                return float(x)
+            stack += reversed(list(x.values()) if isinstance(x, dict) else x if isinstance(x, list) else [])
+        return None
+
+    return docs.map(one).astype("float64")
+
+
+@F.pandas_udf(T.LongType())
+def varint(data: pd.Series) -> pd.Series:
+    """The variable-length number that bytes start with (1, 3, 5 or 9 bytes, little-endian); null if they are too few."""
+
+    def one(b):
+        n = {0xFD: 2, 0xFE: 4, 0xFF: 8}.get(b[0], 0) if b else None
+        if n is None or len(b) <= n:
+            return None
+        return int.from_bytes(b[1 : 1 + n], "little") if n else b[0]
+
+    return pd.Series([one(b) for b in data], dtype="Int64")
+
+
+@F.pandas_udf(T.StringType())
+def merkle_root(leaves: pd.Series) -> pd.Series:
+    """The root of a tree of double SHA-256 over hashes in hex (an array in order); an odd level repeats its last one; null for no leaf."""
+    import hashlib
+
+    twice = lambda b: hashlib.sha256(hashlib.sha256(b).digest()).digest()
+
+    def one(hexes):
+        level = [bytes.fromhex(h) for h in hexes] if hexes is not None else []
+        while len(level) > 1:
+            level += level[-1:] if len(level) % 2 else []
+            level = [twice(level[i] + level[i + 1]) for i in range(0, len(level), 2)]
+        return level[0].hex() if level else None
+
+    return leaves.map(one)
+
+
 def ripemd160_available() -> bool:
     import hashlib
 

@@ -11,6 +11,12 @@ def chunk_of(height: Column, size: int, start: int = 0) -> Column:
     return F.floor((height - start) / size).cast("long")
 
 
+def clamp_range(start: Column, end: Column, low: Column, high: Column) -> Column:
+    """The part of start..end that lies in low..high, as a struct; null if there is none. A null bound does not bind."""
+    a, b = F.greatest(start, low), F.least(end, high)
+    return F.when(a <= b, F.struct(a.alias("start"), b.alias("end")))
+
+
 def with_height(df: DataFrame, *order: str, start: int = 0, rows_per_range: int = 1 << 20) -> DataFrame:
     """Adds height: each row's place in the order, from `start`.
 

@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import blocks, compare, latency
+from ..operators import blocks, compare, headers, latency, suite
+from ..sources import frames
 from ..sources import text as lines
 from ..streaming import chunks as stream
 
@@ -423,21 +424,207 @@ def jq_first_match(t):
     return t.events.where("value > 10").groupBy("user_id").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"))
 
 
-# beyond SQL
+# suites and their statistics
+
+
+def _names(all_names):
+    return F.element_at(F.array(*map(F.lit, all_names)), (F.col("event_id") % len(all_names) + 1).cast("int"))
+
+
+_SUITE = [side + n for names in suite.SPEED.values() for n in names for side in ("core-", "commons-")] + ["core-unheard-of"]
+_SUITE_SQL = "(SELECT event_id, (" + repr(_SUITE) + f")[event_id % {len(_SUITE)} + 1] AS name FROM events)"
+
+
+@query(f"SELECT event_id, CASE WHEN base IN {tuple(suite.SPEED['fast'])} THEN 'fast' WHEN base IN {tuple(suite.SPEED['slow'])} THEN 'slow' ELSE 'medium' END AS speed FROM (SELECT event_id, regexp_replace(name, '^(core|commons)-', '') AS base FROM {_SUITE_SQL})")
+def measurement_speed(t):
+    return t.events.select("event_id", suite.speed_of(_names(_SUITE)).alias("speed"))
+
+
+@query(f"SELECT c.category, count(*) AS n FROM {_SUITE_SQL} JOIN (VALUES {', '.join(str(kv) for kv in suite.CATEGORIES.items())}) c(category, pattern) ON regexp_matches(name, '(?i)' || c.pattern) GROUP BY 1")
+def measurement_categories(t):
+    d = t.events.withColumn("name", _names(_SUITE))
+    return d.select(F.explode(suite.categories("name")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(CASE WHEN ok THEN 1 END) AS benchmarks_completed, count(CASE WHEN NOT ok THEN 1 END) AS benchmarks_failed, coalesce(string_agg(p, ',' ORDER BY p) FILTER (ok), '') AS completed, coalesce(string_agg(p, ',' ORDER BY p) FILTER (NOT ok), '') AS failed FROM (SELECT o_orderpriority AS p, count(*) % 2 = 0 AS ok FROM orders GROUP BY 1)")
+def suite_summary(t):
+    d = t.orders.groupBy("o_orderpriority").agg((F.count("*") % 2 == 0).alias("ok"))
+    out = suite.run_summary(d, "o_orderpriority", F.col("ok"))
+    return out.withColumn("completed", F.array_join("completed", ",")).withColumn("failed", F.array_join("failed", ","))
+
+
+@query("SELECT event_id, value AS mean, value * 2 AS p75, value / 2 AS lower_bound, NULL::DOUBLE AS p99, user_id AS sample_count FROM events")
+def estimates_struct(t):
+    doc = F.format_string('{"mean":{"point_estimate":%s,"confidence_interval":{"lower_bound":%s}},"percentiles":{"0.75":%s},"sample_count":%s}', F.col("value").cast("string"), (F.col("value") / 2).cast("string"), (F.col("value") * 2).cast("string"), F.col("user_id").cast("string"))
+    d = t.events.select("event_id", suite.estimates(doc).alias("s"))
+    return d.selectExpr("event_id", "s.mean.point_estimate mean", "s.percentiles.p75 p75", "s.mean.confidence_interval.lower_bound lower_bound", "s.percentiles.p99 p99", "s.sample_count sample_count")
+
+
+@query("SELECT event_id, value AS median, round(value * 0.95, 9) AS lower_bound, round(value * 1.05, 9) AS upper_bound, round(value * (user_id % 10) / 100, 9) AS standard_error FROM events")
+def synthetic_statistics(t):
+    d = t.events.select("event_id", suite.synthetic(F.col("value"), F.col("user_id") % 10).alias("s"))
+    return d.select("event_id", "s.median", *(F.round(f"s.{c}", 9).alias(c) for c in ("lower_bound", "upper_bound", "standard_error")))
+
+
+_COUNT = {"cycles": "view", "instructions": "click", "cache_references": "view", "cache_misses": "nothing", "branches": "nothing", "branch_misses": "click"}
+
+
+@query("SELECT user_id, round(i::DOUBLE / nullif(c, 0), 6) AS ipc, round(0.0 / nullif(c, 0), 6) AS cache_miss_percent, NULL::DOUBLE AS branch_miss_percent FROM (SELECT user_id, count(CASE WHEN event_type = 'view' THEN 1 END) AS c, count(CASE WHEN event_type = 'click' THEN 1 END) AS i FROM events GROUP BY 1)")
+def counter_rates(t):
+    d = t.events.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == e).alias(c) for c, e in _COUNT.items()))
+    return suite.rates(d).select("user_id", *(F.round(c, 6).alias(c) for c in ("ipc", "cache_miss_percent", "branch_miss_percent")))
+
+
+@query(f"SELECT coalesce(bool_or(status = 'regression'), false) AS failed FROM ({_REG})")
+def regression_gate(t):
+    return regression_report(t).agg(F.coalesce(F.bool_or(F.col("status") == "regression"), F.lit(False)).alias("failed"))
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN 'complete' ELSE 'pending' END AS implementation_status FROM events")
+def implementation_status(t):
+    return t.events.select("event_id", F.when(F.col("value") > 50, "complete").otherwise("pending").alias("implementation_status"))
+
+
+@query("SELECT p_brand, p_type FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE regexp_matches(p_type, 'BRASS|STEEL')) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type) <= 3")
+def limit_three_matches(t):
+    d = t.part.where(F.col("p_type").rlike("BRASS|STEEL")).select("p_brand", "p_type").distinct()
+    return d.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type"))).where("n <= 3").drop("n")
+
+
+@query("SELECT source, files, test_files, round(test_loc / nullif(loc - test_loc, 0), 3) AS test_to_production FROM (SELECT source, count(*) AS files, count(CASE WHEN doc_id % 5 = 0 THEN 1 END) AS test_files, sum(n)::BIGINT AS loc, coalesce(sum(CASE WHEN doc_id % 5 = 0 THEN n END), 0)::BIGINT AS test_loc FROM (SELECT source, doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents) GROUP BY source)")
+def test_ratio(t):
+    n, is_test = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.col("doc_id") % 5 == 0
+    d = t.documents.groupBy("source").agg(F.count("*").alias("files"), F.count_if(is_test).alias("test_files"), F.sum(n).alias("loc"), F.coalesce(F.sum(F.when(is_test, n)), F.lit(0)).alias("test_loc"))
+    return d.select("source", "files", "test_files", F.round(F.try_divide("test_loc", F.col("loc") - F.col("test_loc")), 3).alias("test_to_production"))
+
+
+@query("SELECT source, lang, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS loc FROM documents GROUP BY ROLLUP (source, lang)")
+def code_totals(t):
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return t.documents.rollup("source", "lang").agg(F.sum(n).alias("loc"))
+
+
+# more readers
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id + 0.5 ELSE event_id + 1000 END::DOUBLE AS v FROM events")
+def first_nonzero_cell(t):
+    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("| 0 | "), F.col("user_id"), F.lit(".5 | 7 |"))).otherwise(F.concat(F.lit("no table: "), F.col("event_id") + 1000, F.lit(" units")))
+    return t.events.withColumn("line", line).select("event_id", lines.first_number_cell("line").alias("v"))
+
+
+@query("SELECT event_id, user_id::DOUBLE AS a, NULL::DOUBLE AS b FROM events")
+def comma_line_parse(t):
+    d = t.events.withColumn("line", F.concat(F.lit("Name , "), F.col("user_id"), F.lit(" , none")))
+    return d.select("event_id", lines.comma_cell("line", 1).alias("a"), lines.comma_cell("line", 2).alias("b"))
+
+
+@query("SELECT user_id, arg_max(event_id, event_id)::DOUBLE AS last_ms FROM events WHERE event_id % 2 = 0 GROUP BY user_id")
+def log_scrape(t):
+    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Synced 10 blocks in "), F.col("event_id"), F.lit(" ms"))).otherwise("waiting")
+    d = t.events.withColumn("ms", lines.log_value(line, "blocks in", "ms")).where("ms is not null")
+    return d.groupBy("user_id").agg(F.max_by("ms", "event_id").alias("last_ms"))
+
+
+@query("SELECT user_id, event_id, head AS name, 2000.0::DOUBLE AS ns FROM (SELECT user_id, event_id, event_id % 2 AS is_time, lag(CASE WHEN event_id % 2 = 0 THEN 'case' || event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS head FROM events) WHERE is_time = 1 AND head IS NOT NULL")
+def headed_times(t):
+    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Benchmarking group/case"), F.col("event_id"), F.lit(": Warming up"))).otherwise("time: [1.0 us 2.0 us 3.0 us]")
+    return lines.headed_times(t.events.withColumn("line", line), "event_id", "line", "user_id")
+
+
+# headers, chains, frames
+
+
+_HEAD = "sha256('a' || o_orderkey) || sha256('b' || o_orderkey) || left(sha256('c' || o_orderkey), 32)"
+_PAIRS = "list_reduce(list_reverse(regexp_extract_all({x}, '..')), lambda a, b: a || b)"
+
+
+def _sql_part(at, n):
+    return _PAIRS.format(x=f"substr(h, {2 * at - 1}, {2 * n})")
+
+
+def _sql_number(at, n):
+    return "(" + " + ".join(f"(instr('0123456789abcdef', substr(h, {2 * (at + i) - 1}, 1)) - 1) * {16 * 256**i} + (instr('0123456789abcdef', substr(h, {2 * (at + i)}, 1)) - 1) * {256**i}" for i in range(n)) + ")::BIGINT"
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"{_sql_number(*p)} AS {k}" for k, p in headers.NUMBERS.items()) + ", " + ", ".join(f"{_sql_part(*p)} AS {k}" for k, p in headers.HASHES.items()) + ", " + _PAIRS.format(x="sha256(unhex(sha256(unhex(h))))") + f" AS block_hash FROM (SELECT o_orderkey, {_HEAD} AS h FROM orders)")
+def header_fields(t):
+    part = lambda c: F.sha2(F.concat(F.lit(c), F.col("o_orderkey").cast("string")), 256)
+    d = t.orders.select("o_orderkey", F.concat(part("a"), part("b"), F.substring(part("c"), 1, 32)).alias("h"))
+    return headers.fields(d, "h").drop("h")
+
+
+@query("WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id || ':' || turn AS name, conv_id || ':' || (turn - 1) AS prev FROM conversations), r AS (SELECT name, name AS root, 0::BIGINT AS height FROM c WHERE prev NOT IN (SELECT name FROM c) UNION ALL SELECT c.name, r.root, r.height + 1 FROM c JOIN r ON c.prev = r.name) SELECT name, root, height FROM r")
+def chain_order(t):
+    of = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    return headers.chain_heights(t.conversations.select(of(F.col("turn")).alias("name"), of(F.col("turn") - 1).alias("prev")), "name", "prev")
+
+
+@query("SELECT o_orderkey, CASE WHEN greatest(o_orderkey, 500) <= least(o_orderkey + o_custkey % 50, 900) THEN greatest(o_orderkey, 500) END AS first_height, CASE WHEN greatest(o_orderkey, 500) <= least(o_orderkey + o_custkey % 50, 900) THEN least(o_orderkey + o_custkey % 50, 900) END AS last_height FROM orders")
+def pruned_range(t):
+    r = blocks.clamp_range(F.col("o_orderkey"), F.col("o_orderkey") + F.col("o_custkey") % 50, F.lit(500).cast("long"), F.lit(900).cast("long"))
+    return t.orders.select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.start").alias("first_height"), F.col("r.end").alias("last_height"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents")
+def block_frames_roundtrip(t):
+    magic, pad = bytes.fromhex("f9beb4d9"), bytes.fromhex("0123456789abcdef")
+
+    def run(parts):
+        for df in parts:
+            data = frames.encode_frames((x.encode() for x in df.text), magic, pad)
+            df["text"] = [p.decode() for _, p in frames.decode_frames(data, magic, pad, most=1 << 31)]
+            yield df
+
+    d = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, text string")
+    return d.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("SELECT event_id, xor(ascii(event_type), 132)::BIGINT AS first_byte FROM events")
+def xor_decode(t):
+    pad = F.lit(0x84)
+    return t.events.select("event_id", F.ascii("event_type").bitwiseXOR(pad).cast("long").alias("first_byte"))
+
+
+# beyond plain SQL, or with recursive SQL
+
+
+@query("SELECT event_id, CASE WHEN value > 0 AND value < 1e6 THEN value END AS number FROM events")
+def recursive_number_search(t):
+    doc = F.concat(F.lit('{"a":{"b":[{"x":0},{"y":"z","n":'), F.col("value").cast("string"), F.lit("}]},\"c\":-3}"))
+    return t.events.select("event_id", scalars.first_number(doc).alias("number"))
 
 
 @query()
+def merkle_roots(t):
+    leaf = F.struct("l_linenumber", F.sha2(F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber"), 256).alias("leaf"))
+    d = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))  # an order's lines, a handful
+    return d.select("l_orderkey", scalars.merkle_root(F.col("leaves.leaf")).alias("root"))
+
+
+@query("SELECT event_id, CASE WHEN value > 0 THEN value END AS time_ms FROM events")
 def recursive_time_search(t):
     doc = F.concat(F.lit('{"a":{"b":[{"time_ms":0},{"total_time":'), F.col("value").cast("string"), F.lit("}]}}"))
     return t.events.select("event_id", scalars.first_time(doc).alias("time_ms"))
 
 
-@query("SELECT user_id, count(*) AS steps FROM events GROUP BY user_id")
+_FOLD = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS x FROM events),
+f AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS rejected, 0::DOUBLE AS state FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT f.user_id, f.n + 1, f.rejected + CASE WHEN state + x < 0 THEN 1 ELSE 0 END, CASE WHEN state + x < 0 THEN state ELSE state + x END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, n AS steps, rejected, round(state, 4) AS state FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1"""
+
+
+@query(_FOLD)
 def utxo_fold(t):
     d = t.events.withColumn("amount", F.when(F.col("event_id") % 3 == 0, -F.col("value")).otherwise(F.col("value")))
-    return blocks.fold_groups(d, "user_id", "event_id", "amount").select("user_id", "steps")
+    return blocks.fold_groups(d, "user_id", "event_id", "amount")
 
 
 @query("SELECT event_id // 1000 AS chunk, count(*) AS records FROM events GROUP BY 1")
 def stream_chunks(t):
     return stream.counted(t.spark, f"{t.sf_dir}/events.parquet", "event_id", 1000)
+
+
+@query("SELECT event_type, ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_daily(t):
+    return stream.windowed(t.spark, f"{t.sf_dir}/events.parquet", "ts", "event_type", "value")

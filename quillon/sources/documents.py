@@ -16,7 +16,7 @@ NOT_DOCUMENTS = r"(summary\.json|consolidated|/history-|/trends-|timeseries\.jso
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """file, impl, bench_key, run_ts (from the name's -YYYYmmdd-HHMMSS), doc: every measurement file below a folder."""
-    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     d = d.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc")).where(~F.col("file").rlike(NOT_DOCUMENTS))
     base = F.regexp_replace(F.regexp_extract("file", r"([^/]+)\.json$", 1), r"-fair(?=-\d{8}-\d{6}$|$)", "")
     stem = F.regexp_replace(base, r"-\d{8}-\d{6}$", "")

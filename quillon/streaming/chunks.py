@@ -1,4 +1,4 @@
-"""Chunks of a stream of records, by Structured Streaming."""
+"""Chunks and daily windows of a stream of records, by Structured Streaming."""
 
 from __future__ import annotations
 
@@ -10,12 +10,29 @@ from pyspark.sql import functions as F
 from ..operators.blocks import chunk_of
 
 
-def counted(spark: SparkSession, path: str, key: str, size: int) -> DataFrame:
-    """Records of each chunk of `size` keys: the file is read as a stream, all that is there now, with state kept by chunk. A row per chunk is the result."""
-    schema = spark.read.parquet(path).schema
+def _stream(spark: SparkSession, path: str) -> DataFrame:
     folder, _, name = path.rstrip("/").rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    out = f"chunks_{uuid.uuid4().hex}"
-    q = rows.groupBy(chunk_of(F.col(key), size).alias("chunk")).agg(F.count("*").alias("records")).writeStream.outputMode("complete").format("memory").queryName(out).trigger(availableNow=True).start()
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+
+
+def _all_now(rows: DataFrame, name: str) -> DataFrame:
+    out = f"{name}_{uuid.uuid4().hex}"
+    q = rows.writeStream.outputMode("complete").format("memory").queryName(out).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(out)
+    return rows.sparkSession.table(out)
+
+
+def counted(spark: SparkSession, path: str, key: str, size: int) -> DataFrame:
+    """Records of each chunk of `size` keys: the file is read as a stream, all that is there now, with state kept by chunk. A row per chunk is the result."""
+    rows = _stream(spark, path).groupBy(chunk_of(F.col(key), size).alias("chunk")).agg(F.count("*").alias("records"))
+    return _all_now(rows, "chunks")
+
+
+def windowed(spark: SparkSession, path: str, ts: str, key: str, value: str, late: str = "2 days") -> DataFrame:
+    """Count and sum of a value per key and day of event time, as a stream with a watermark (beyond what the measurement suite has).
+
+    ts is a time without zone; days are its own, whatever the session's zone is."""
+    at = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"))
+    rows = _stream(spark, path).withColumn("w_at", at).withWatermark("w_at", late)
+    rows = rows.groupBy(key, F.window("w_at", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+    return _all_now(rows.select(key, F.date_from_unix_date(F.expr("cast(unix_seconds(w.start) div 86400 as int)")).alias("day"), "n", "total"), "windows")

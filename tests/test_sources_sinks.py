@@ -8,7 +8,7 @@ from quillon.sources import documents
 
 
 def test_documents(spark, tmp_path):
-    put = lambda name, doc: (tmp_path / name).write_text(doc if isinstance(doc, str) else json.dumps(doc))
+    put = lambda name, doc: (tmp_path / name).write_text(doc if isinstance(doc, str) else json.dumps(doc, indent=1))
     (tmp_path / "history").mkdir()
     put("core-hash-20240101-000000.json", {"benchmarks": [{"time_ms": 9}]})
     put("core-hash-20240102-000000.json", {"benchmarks": [{"time_ms": 8}]})
