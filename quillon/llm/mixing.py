@@ -74,8 +74,13 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str
     m = m.withColumn("copies", F.col("epochs") + half.cast("long")).withColumn("copies", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("copies")))
     m = m.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     m = m.selectExpr("doc_id m_id", "source m_source", "size m_size", "copies", "n")
-    d = docs.withColumn("m_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    d = d.join(m.hint("shuffle_hash"), F.expr("doc_id <=> m_id and source <=> m_source and m_words = m_size"))
-    nth = F.when(F.col("n") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("m_id", "m_source", "m_size").orderBy(F.col("text"))))
-    d = d.withColumn("m_copies", F.expr("copies div n").cast("int") + (nth <= F.expr("copies % n")).cast("int")).where("m_copies > 0")
-    return d.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
+    m = written(m, "copies")
+    # the row is kept as one column, so that no name of docs can clash with these
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), words.alias("words"))
+    of = lambda which: d.join(m.where("copies > 0").where(which).hint("shuffle_hash"), F.expr("id <=> m_id and source <=> m_source and words = m_size"))
+    # both joins read one exchange of the rows; only rows of equal doc_id, source and size move again
+    nth = F.row_number().over(Window.partitionBy("m_id", "m_source", "m_size").orderBy(F.xxhash64("row.text"), F.col("row.text")))
+    out = of("n = 1").select("row", F.col("copies").cast("int").alias("times"))
+    many = of("n > 1").withColumn("nth", nth).select("row", (F.expr("copies div n").cast("int") + (F.col("nth") <= F.expr("copies % n")).cast("int")).alias("times"))
+    return out.union(many.where("times > 0")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -89,9 +89,10 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each span of secrets in text replaced by a mark, all else kept; a null text stays null."""
-    d = scan(docs)
+    d = scan(docs.select(F.struct("*").alias("row"), "text"))
     text = F.col("text")
     cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     step = lambda a, s: F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.when(s["start"] >= a["pos"], F.concat(a["out"], cut(a["pos"], s["start"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
     clean = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], cut(a["pos"], F.length(text).cast("long"))))
-    return d.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return d.select(*(clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -18,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import components
 from .util import row_slices, text_buffers, written
@@ -52,7 +51,7 @@ def _fingerprints(shingle: int):
         for b in batches:
             offs, raw = text_buffers(b.column("text"))
             fp = np.array([fingerprint(raw[offs[i] : offs[i + 1]].tobytes(), shingle) for i in range(len(b))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     return run
 
@@ -203,13 +202,13 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE, n: int | None = Non
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """A row for each row of docs: doc_id, fp (long), component_id.
+    """A row for each row of docs: doc_id, fp (long), component_id, text_hash (Spark's xxhash64 of the text).
 
     Texts are lower-cased (A-Z), cut into words, and their shingles hashed by XXH64 (seed 42); a text of fewer words is one shingle,
     one without words (null, empty) has fingerprint zero. component_id is the smallest doc_id reachable by links, the row's own included. Rows of a null
     doc_id link others too; a component of these alone has a null id. Repeated rows come back as often.
     """
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
     own = written(own, "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
@@ -217,7 +216,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     member = written(member, "members")
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
     named = member.join(low, "root").select("fp", "component_id")
-    return own.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -226,19 +225,15 @@ def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame
     A group of null doc_ids alone keeps one row for each fingerprint. Equal rows count as one.
     """
     near = near_duplicates(docs, radius, shingle)
-    key = F.xxhash64("s_id", "s_fp")
-    chosen = near.where("doc_id <=> component_id").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("s_fp"))
-    chosen = chosen.select(F.col("component_id").alias("s_id"), "s_fp").select("s_id", "s_fp", key.alias("s_key"))
-
-    def run(batches):
-        for b in batches:
-            offs, raw = text_buffers(b.column("text"))
-            fp = np.array([fingerprint(raw[offs[i] : offs[i + 1]].tobytes(), shingle) for i in range(len(b))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "s_fp"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("s_fp", T.LongType())])
-    rows = docs.mapInArrow(run, schema).withColumn("s_id", F.col("doc_id").cast("long")).withColumn("s_key", key)
-    rows = rows.join(chosen.withColumnsRenamed({"s_id": "c_id", "s_fp": "c_fp"}).hint("shuffle_hash"), "s_key").where("s_fp = c_fp and s_id <=> c_id")
-    # rows of one id and fingerprint: one is left
-    nth = F.row_number().over(Window.partitionBy("s_key").orderBy(F.xxhash64("text")))
-    return rows.withColumn("s_nth", nth).where("s_nth = 1").select(*docs.columns)
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    texts = near.where("doc_id <=> component_id").groupBy("component_id", alone.alias("alone"), "fp", "text_hash").agg(F.count("*").alias("n"))
+    chosen = texts.groupBy("component_id", "alone").agg(F.min(F.struct("fp", "text_hash", "n")).alias("s"))
+    key = lambda d: d.withColumn("key", F.xxhash64("id", "hash"))
+    chosen = key(chosen.select(F.col("component_id").alias("id"), F.col("s.text_hash").alias("hash"), "s.n")).toDF("c_id", "c_hash", "n", "key")
+    chosen = written(chosen, "chosen")
+    # the row is kept as one column, so that no name of docs can clash with these
+    rows = key(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")))
+    of = lambda which: rows.join(chosen.where(which).hint("shuffle_hash"), "key").where("hash = c_hash and id <=> c_id")
+    # both joins read one exchange of the rows; only repeated rows of one id and text move again, and one is left
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("hash"))
+    return of("n = 1").select("row.*").union(of("n > 1").withColumn("nth", nth).where("nth = 1").select("row.*"))

@@ -72,3 +72,18 @@ def test_odd_rows(spark):
         assert bool(out) == bool(data)
     near = cp.near_dedup(spark, spark.createDataFrame(rows, schema), SF)
     assert len(near.where("doc_id = 3").collect()) <= 2
+
+
+def test_clashing_names(spark):
+    """Extra columns that are named like those that the operators use come back as they were."""
+    names = "spans base found_ row id hash key nth alone s_fp s_key c_id words size copies times copy n m_id m_words m_copies fp component_id text_hash".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = docs.columns
+    odd = docs.select("*", *(cp.secrets.F.lit(f"own {n}").alias(n) for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        want = stage(spark, docs, SF).select("doc_id", "text").collect()
+        got = stage(spark, odd, SF)
+        assert got.columns == plain + names
+        got = got.collect()
+        assert all(r[n] == f"own {n}" for r in got for n in names)
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(map(tuple, want)), name
