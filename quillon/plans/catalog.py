@@ -217,7 +217,7 @@ def speed_class(t):
     return t.events.select("event_type").distinct().join(F.broadcast(dim), "event_type", "left").withColumn("speed", F.coalesce("speed", F.lit("medium")))
 
 
-_TAGS = {"brass": "BRASS", "steel": "STEEL", "small": "SMALL", "large": "LARGE", "plated": "PLATED"}
+_TAGS = {"sized": "small|medium|large", "small": "small", "large": "large", "cheap": "econ|promo", "none": "steel"}
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS category, count(*) AS n FROM part WHERE regexp_matches(p_type, '(?i){v}') HAVING count(*) > 0" for k, v in _TAGS.items()))
@@ -485,9 +485,9 @@ def implementation_status(t):
     return t.events.select("event_id", F.when(F.col("value") > 50, "complete").otherwise("pending").alias("implementation_status"))
 
 
-@query("SELECT p_brand, p_type FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE regexp_matches(p_type, 'BRASS|STEEL')) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type) <= 3")
+@query("SELECT p_brand, p_type FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE regexp_matches(p_type, 'M|AR')) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type) <= 3")
 def limit_three_matches(t):
-    d = t.part.where(F.col("p_type").rlike("BRASS|STEEL")).select("p_brand", "p_type").distinct()
+    d = t.part.where(F.col("p_type").rlike("M|AR")).select("p_brand", "p_type").distinct()
     return d.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type"))).where("n <= 3").drop("n")
 
 
