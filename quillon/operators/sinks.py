@@ -20,14 +20,36 @@ def append_history(df: DataFrame, path: str, commit: str, branch: str, at: str)
     df.withColumn("git_commit", F.lit(commit)).withColumn("git_branch", F.lit(branch)).withColumn("stored_at", ts).withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def rotate_baseline(current: DataFrame, report: DataFrame, path: str, force: bool = False) -> bool:
-    """Makes the current rows the baseline if nothing regressed (or by force); says whether it did."""
-    if not force and not report.where("status = 'regression'").isEmpty():
+def hadoop_path(spark, path: str):
+    """A path and its file system, as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _versions(spark, path: str) -> list[int]:
+    """Versions that were written to their end."""
+    at, files = hadoop_path(spark, f"{path}/version=*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in files.globStatus(at) or [])
+
+
+def rotate_baseline(current: DataFrame, report: DataFrame | None, path: str, force: bool = False) -> bool:
+    """Makes the current rows the baseline if there is none yet, if nothing regressed, or by force; says whether it did.
+
+    Each baseline is a version of its own: the one before stays whole while the next is written, which may read it.
+    """
+    done = _versions(current.sparkSession, path)
+    if done and not force and (report is None or not report.where("status = 'regression'").isEmpty()):
         return False
-    current.write.mode("overwrite").parquet(path)
+    current.write.mode("overwrite").parquet(f"{path}/version={max(done, default=0) + 1}")
     return True
 
 
+def baseline(spark, path: str) -> DataFrame | None:
+    """The newest whole baseline; None before the first."""
+    done = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={done[-1]}") if done else None
+
+
 #: The sizes and versions that a record may have.
 LEAST, MOST, VERSIONS = 88, 10 << 20, (1, 0x7FFFFFFF)
 

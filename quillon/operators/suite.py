@@ -29,6 +29,14 @@ def of_class(speed: str) -> list[str]:
     return sorted(SPEED.get(speed, []))
 
 
+def selected(df: DataFrame, name: str, which: str) -> DataFrame:
+    """The measurements that a suite runs: all of them, those of one side, or (fair, fair-fast) those that belong to a side."""
+    sides = {"all": "", "fair": "^(core|commons)-", "fair-fast": "^(core|commons)-", "core-only": "^core-", "commons-only": "^commons-"}
+    if which not in sides:
+        raise ValueError(f"no suite {which}")
+    return df.where(F.col(name).rlike(sides[which])) if sides[which] else df
+
+
 def categories(name, table: dict[str, str] = CATEGORIES) -> Column:
     """An array of the categories that fit a name, in the table's order; letters fit in either case."""
     return F.array_compact(F.array(*(F.when(F.col(name).rlike(f"(?i){p}"), F.lit(c)) for c, p in table.items())))

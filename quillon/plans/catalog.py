@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import blocks, compare, headers, latency, suite
+from ..operators import blocks, cache, compare, headers, latency, suite
 from ..sources import frames
 from ..sources import text as lines
 from ..streaming import chunks as stream
@@ -403,6 +405,23 @@ def cache_stats(t):
     return t.documents.agg(F.count("*").alias("total_records"), F.sum(F.octet_length("text")).alias("total_bytes"))
 
 
+_SOURCES = (("cache", "c_acctbal > 5000"), ("files", "c_mktsegment = 'BUILDING'"), ("rest", "c_nationkey < 10"))
+_TAKEN = "CASE " + " ".join(f"WHEN {w} THEN '{n}'" for n, w in _SOURCES) + " END"
+
+
+@query(f"SELECT o_custkey AS c_custkey, {_TAKEN} AS source, CASE WHEN {_TAKEN} IS NOT NULL THEN c_name END AS c_name FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN customer ON c_custkey = o_custkey")
+def read_through(t):
+    """The record of each customer that orders name, from the first of three sources that has it."""
+    wanted = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    return cache.read_through(wanted, "c_custkey", [(n, t.customer.where(w).select("c_custkey", "c_name")) for n, w in _SOURCES])
+
+
+@query("SELECT l_orderkey, count(*) AS transactions, count(*) FILTER (l_linenumber > 1) AS ordinary, count(*) FILTER (l_returnflag = 'R') AS spent, count(*) FILTER (l_linenumber > 1 AND l_returnflag <> 'R') AS ordinary_unspent FROM lineitem GROUP BY 1")
+def block_statistics(t):
+    """Lines of an order as a block's transactions: its first one is no ordinary one, returned ones are spent."""
+    return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("transactions"), F.count_if(F.expr("l_linenumber > 1")).alias("ordinary"), F.count_if(F.expr("l_returnflag = 'R'")).alias("spent"), F.count_if(F.expr("l_linenumber > 1 and l_returnflag <> 'R'")).alias("ordinary_unspent"))
+
+
 @query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def set_except(t):
     return t.orders.select("o_custkey").distinct().join(t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
@@ -440,6 +459,13 @@ def measurement_speed(t):
     return t.events.select("event_id", suite.speed_of(_names(_SUITE)).alias("speed"))
 
 
+@query(f"SELECT suite, name, count(*) AS n FROM {_SUITE_SQL} JOIN (VALUES ('all', ''), ('fair', '^(core|commons)-'), ('core-only', '^core-'), ('commons-only', '^commons-')) s(suite, pattern) ON regexp_matches(name, pattern) GROUP BY 1, 2")
+def suite_selection(t):
+    d = t.events.select(_names(_SUITE).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    parts = [suite.selected(d, "name", which).select(F.lit(which).alias("suite"), "name", "n") for which in ("all", "fair", "core-only", "commons-only")]
+    return functools.reduce(DataFrame.union, parts)
+
+
 @query(f"SELECT c.category, count(*) AS n FROM {_SUITE_SQL} JOIN (VALUES {', '.join(str(kv) for kv in suite.CATEGORIES.items())}) c(category, pattern) ON regexp_matches(name, '(?i)' || c.pattern) GROUP BY 1")
 def measurement_categories(t):
     d = t.events.withColumn("name", _names(_SUITE))

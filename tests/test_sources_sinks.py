@@ -3,8 +3,9 @@ import struct
 
 import pytest
 
-from quillon.operators import blocks, sinks
+from quillon.operators import blocks, cache, sinks, suite
 from quillon.sources import documents
+from quillon.streaming import ingest
 
 
 def test_documents(spark, tmp_path):
@@ -52,7 +53,12 @@ def test_history_and_baseline(spark, tmp_path):
         sinks.append_history(d, str(tmp_path / "h"), "abc", "main", at)
     assert spark.read.parquet(str(tmp_path / "h")).count() == 2
     bad = spark.createDataFrame([("a", "regression")], "k string, status string")
-    assert not sinks.rotate_baseline(d, bad, str(tmp_path / "b")) and sinks.rotate_baseline(d, bad.limit(0), str(tmp_path / "b"))
+    at = str(tmp_path / "b")
+    assert sinks.baseline(spark, at) is None and sinks.rotate_baseline(d, None, at)
+    assert not sinks.rotate_baseline(d, bad, at) and sinks.rotate_baseline(sinks.baseline(spark, at).selectExpr("k", "v + 1 v"), bad.limit(0), at)
+    (tmp_path / "b" / "version=3").mkdir()  # a write that was cut off
+    assert sinks.baseline(spark, at).first().v == 2.0
+    assert sinks.rotate_baseline(d, bad, at, force=True) and sinks.baseline(spark, at).first().v == 1.0
     sinks.report_json(d, str(tmp_path / "j"))
     sinks.report_csv(d, str(tmp_path / "s"))
     assert spark.read.option("header", True).csv(str(tmp_path / "s")).first().k == "a"
@@ -70,3 +76,42 @@ def test_heights(spark):
     d = spark.createDataFrame([(i * 7 % 100,) for i in range(100)], "k long")
     got = sorted((r.k, r.height) for r in blocks.with_height(d, "k", rows_per_range=9, start=5).collect())
     assert got == [(i, i + 5) for i in range(100)]
+
+
+def test_read_through(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    sources = [("a", frame((1, "a1"), (2, "a2"))), ("b", frame((2, "b2"), (3, "b3"), (None, "b")))]
+    wanted = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (None,)], "k long")
+    got = {(r.k, r.v, r.source) for r in cache.read_through(wanted, "k", sources).collect()}
+    assert got == {(1, "a1", "a"), (2, "a2", "a"), (3, "b3", "b"), (4, None, None)}
+    assert [tuple(r) for r in cache.read_through(wanted.limit(0), "k", []).collect()] == []
+    at = str(tmp_path / "cache")
+    assert {r.k for r in cache.prefetch(spark, "k", 1, 2, at, sources).collect()} == {1, 2}
+    gone = [("b", sources[1][1])]  # what is in the cache needs its source no more, and does not change
+    assert sorted((r.k, r.v) for r in cache.prefetch(spark, "k", 1, 4, at, gone).collect()) == [(1, "a1"), (2, "a2"), (3, "b3")]
+    assert cache.first_readable(spark, [str(tmp_path / "none*"), at]) == at and cache.first_readable(spark, [str(tmp_path / "x")]) is None
+
+
+def test_ingest_resumes(spark, tmp_path):
+    rec = lambda version: bytearray(struct.pack("<I", version) + b"x" * 90)
+    src, out, log = (str(tmp_path / x) for x in ("src", "out", "log"))
+    put = lambda *rows: spark.createDataFrame(list(rows), "height long, payload binary").coalesce(1).write.mode("append").parquet(src)
+    put((0, rec(1)), (1, rec(0)), (11, rec(2)))
+    assert ingest.ingest(spark, src, out, log, 10) == 3
+    put((12, rec(1)), (25, rec(1)))
+    assert ingest.ingest(spark, src, out, log, 10) == 2 and ingest.ingest(spark, src, out, log, 10) == 0
+    assert sorted((r.height, r.chunk_id) for r in spark.read.parquet(out).collect()) == [(0, 0), (11, 1), (12, 1), (25, 2)]
+
+
+def test_tail_breaks(spark):
+    d = spark.createDataFrame([(1, "a", None), (2, "b", "a"), (3, "c", "x"), (4, "d", "c"), (5, "e", None)], "h int, name string, prev string")
+    find = lambda last: [(r.h, r.expected) for r in ingest.tail_breaks(d, "h", "name", "prev", last).orderBy("h").collect()]
+    assert find(100) == [(3, "b"), (5, "d")] and find(2) == [(5, "d")]
+
+
+def test_suites(spark):
+    d = spark.createDataFrame([("core-a",), ("commons-a",), ("both-fair",)], "name string")
+    got = {w: sorted(r.name for r in suite.selected(d, "name", w).collect()) for w in ("all", "fair-fast", "core-only")}
+    assert got == {"all": ["both-fair", "commons-a", "core-a"], "fair-fast": ["commons-a", "core-a"], "core-only": ["core-a"]}
+    with pytest.raises(ValueError):
+        suite.selected(d, "name", "none")
