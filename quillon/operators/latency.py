@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bins of values for each doubling; an offset that keeps bins of positive values above 0.
+PER_OCTAVE, ABOVE = 64, 1 << 20
+
+
+def _bin(value: str) -> Column:
+    """A whole number that never falls as the value rises: values of a bin differ by about a hundredth. Infinity and NaN share the last bin."""
+    v = F.col(value).cast("double")
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0)) * PER_OCTAVE) + ABOVE
+    return F.when(v == 0, F.lit(0).cast("long")).when(v < 0, -size).otherwise(size)
+
+
+def _same(keys: list[str]) -> Column:
+    return functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys), F.lit(True))
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
-    """Per key: n, and p{q}: the value at 0-based place floor(n * q / 100) of the sorted ones.
+    """Per key: n, and p{q}: the value at 0-based place floor(n * q / 100) of the sorted ones. Null values do not count; keys without others have no row.
 
-    Equal values are counted before they move, so a window holds distinct values with counts and no list of a group is built.
+    Equal values are counted before they move, and bins of values are summed in order to find those that hold a wanted place: only the values
+    of these bins are sorted, so that a key with most of the rows is no task of its own.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c")).withColumn("bin_", _bin(value))
     w = Window.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") > F.expr(f"least(n * {q} div 100, n - 1)"), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *(at(q).alias(f"p{q}") for q in percents))
+    place = lambda q: F.expr(f"least(n * {q} div 100, n - 1)")
+    bins = counts.groupBy(*keys, "bin_").agg(F.sum("c").alias("held")).withColumn("upto", F.sum("held").over(w.orderBy("bin_"))).withColumn("n", F.sum("held").over(w))
+    wanted = functools.reduce(operator.or_, ((F.col("upto") > place(q)) & (F.col("upto") - F.col("held") <= place(q)) for q in percents))
+    bins = bins.where(wanted).select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("bin_").alias("wanted_"), (F.col("upto") - F.col("held")).alias("before"), "n")
+    near = counts.join(bins, _same(keys) & (F.col("bin_") == F.col("wanted_")))
+    near = near.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin_").orderBy(value)))
+    return near.groupBy(*keys).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > place(q), F.col(value))).alias(f"p{q}") for q in percents))
 
 
 def summary(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 90, 95), average: Column | None = None) -> DataFrame:
-    """Average, least, greatest, count and percentiles per key."""
+    """Average, least, greatest, count and percentiles per key, as of nearest_rank()."""
     avg = F.round(F.avg(value), 2) if average is None else average
-    base = df.groupBy(*keys).agg(avg.alias("avg_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
-    return base.join(nearest_rank(df, keys, value, percents), keys)
+    base = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(avg.alias("avg_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
+    ranks = nearest_rank(df, keys, value, percents)
+    return base.join(ranks.withColumnsRenamed({k: f"{k}_" for k in keys}), _same(keys)).drop(*(f"{k}_" for k in keys))

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -44,6 +45,16 @@ def test_nearest_rank(spark):
     assert (r.n, r.p50, r.p90, r.p95, r.p100) == (20, 11, 19, 20, 20)
 
 
+def test_nearest_rank_brute(spark):
+    rng = random.Random(7)
+    values = {"a": [rng.choice((-1, 1)) * rng.lognormvariate(0, 9) for _ in range(400)], None: [rng.randint(-3, 3) / 1.0 for _ in range(99)], "hot": [5.0] * 300 + [5.01, 0.0, float("inf")], "one": [-2.5], "none": [None]}
+    d = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double").repartition(3)
+    got = {r.k: tuple(r)[1:] for r in latency.summary(d, ["k"], "v", (0, 1, 50, 99, 100)).select("k", "n", "p0", "p1", "p50", "p99", "p100").collect()}
+    place = lambda vs, q: sorted(vs)[min(len(vs) * q // 100, len(vs) - 1)]
+    assert got == {k: (len(vs), *(place(vs, q) for q in (0, 1, 50, 99, 100))) for k, vs in values.items() if k != "none"}
+    assert latency.summary(d.limit(0), ["k"], "v").count() == 0
+
+
 def test_winner_and_regressions(spark):
     d = spark.createDataFrame([("x", 66.25, 10.8), ("tie", 5.0, 5.0), ("zero", 0.0, 1.0)], "k string, core_time_ms double, commons_time_ms double")
     assert {(r.k, r.winner, r.speedup) for r in compare.winner(d).collect()} == {("x", "commons", 6.13), ("tie", "core", 1.0)}
