@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, mixing, quality_rules, secrets, simhash
+from quillon.llm import bpe, jaccard, mixing, quality_rules, secrets
 from quillon.llm.util import table, written
 
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: a row of the group's smallest doc_id (of several such rows, the least fingerprint and text)."""
-    return simhash.one_of_each(docs)
+    """One document of each group that Jaccard similarities of 0.8 or more over five-word shingles join: a row of the group's smallest doc_id (of several such rows, the least fingerprint and text hash)."""
+    return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,9 +209,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     doc_id link others too; a component of these alone has a null id. Repeated rows come back as often.
     """
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
-    own = written(own, "fingerprints")
+    return grouped(written(own, "fingerprints"), lambda fps: links(fps, radius))
+
+
+def grouped(own: DataFrame, linked) -> DataFrame:
+    """own(doc_id, text_hash, fp) with the component_id of each row; linked: distinct fingerprints -> links (a, b)."""
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(linked(distinct.select("fp")))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     member = written(member, "members")
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -224,7 +228,11 @@ def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame
 
     A group of null doc_ids alone keeps one row for each fingerprint. Equal rows count as one.
     """
-    near = near_duplicates(docs, radius, shingle)
+    return one_row_each(docs, near_duplicates(docs, radius, shingle))
+
+
+def one_row_each(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """one_of_each by the groups that near (as near_duplicates gives it) has."""
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
     texts = near.where("doc_id <=> component_id").groupBy("component_id", alone.alias("alone"), "fp", "text_hash").agg(F.count("*").alias("n"))
     chosen = texts.groupBy("component_id", "alone").agg(F.min(F.struct("fp", "text_hash", "n")).alias("s"))
