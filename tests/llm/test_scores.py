@@ -177,6 +177,25 @@ def test_randomness_accepts_random_tokens(spark):
     assert sum(r.n == 1 for r in got) >= 45
 
 
+def test_secrets_among_many_ordinary_tokens(spark):
+    """Random tokens of 20 to 40 characters beside hundreds of paths and names, of which at most a few are taken for secrets."""
+    rng = np.random.default_rng(8)
+    words = "get set user name path lib config value index table reader writer parse local share python module state error handler request response cache token batch stream".split()
+    pick = lambda n: [str(w) for w in rng.choice(words, n)]
+    forms = [lambda: "_".join(pick(5)), lambda: "/" + "/".join(pick(5)), lambda: "-".join(pick(5)), lambda: "".join(w.title() for w in pick(5)), lambda: "/".join(pick(4)) + f"_v{rng.integers(100)}"]
+    ordinary = [forms[i % 5]() for i in range(400)]
+    ordinary = [t for t in ordinary if len(t) >= 20]
+    assert len(ordinary) > 300
+    rows = [(1000, " ".join(ordinary), None)]
+    for i, n in enumerate([20, 24, 32, 40] * 5):
+        at = int(rng.integers(len(ordinary)))
+        rows.append((i, " ".join(ordinary[:at] + ["".join(rng.choice(list(secrets.CODES[:62]), n))] + ordinary[at:]), None))
+    got = {r.doc_id: [row[s.start : s.end] for s in r.spans] for r in secrets.scan(docs(spark, rows)).select("doc_id", "text", "spans").collect() for row in [r.text]}
+    assert len(got[1000]) <= 5
+    hits = [any(t not in ordinary for t in got[i]) for i in range(20)]
+    assert sum(hits) >= 17, hits
+
+
 def test_quality_cnn(spark):
     rows, labels = labelled(spark, 400)
     rows += [(1000, None, None), (1001, "", None), (None, "x", None), (1002, "long " * 20000, None), rows[2]]
