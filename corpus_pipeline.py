@@ -34,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) and n_tokens of each document."""
-    return bpe.encode(docs)
+    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens and decoded (the text that the ids give again) of each document."""
+    return bpe.encode_and_decode(docs)
 
 
 STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("secret scan", secret_scan), ("mixing", mixture), ("bpe", tokens)]

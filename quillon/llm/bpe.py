@@ -100,21 +100,31 @@ def _bpe(path: str | None) -> TreeBPE:
     return TreeBPE(path)
 
 
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """decode(encode(docs)), both by one worker, which holds the vocabulary once."""
+    return _encoded(docs, path, True)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Adds to doc_id and text: ids, the token ids as little-endian unsigned 32-bit integers (binary), and n_tokens.
 
     A null text is empty: no tokens. Other columns are left out. `path`: the vocabulary file, readable on every executor.
     """
+    return _encoded(docs, path, False)
+
 
+def _encoded(docs: DataFrame, path: str | None, back: bool) -> DataFrame:
     def run(batches):
         bpe = _bpe(path)
         for b in batches:
             offs, raw = text_buffers(b.column("text"))
             for i, j in row_slices(offs):
                 ids = [bpe.encode(raw[offs[k] : offs[k + 1]].tobytes().decode()) for k in range(i, j)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+                own = [b.column("doc_id").slice(i, j - i), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+                again = [pa.array([bpe.decode(x) for x in ids], pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays(own + again, names=["doc_id", "ids", "n_tokens", "decoded"][: 3 + back])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long" + ", decoded string" * back)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:

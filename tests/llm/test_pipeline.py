@@ -87,3 +87,10 @@ def test_clashing_names(spark):
         got = got.collect()
         assert all(r[n] == f"own {n}" for r in got for n in names)
         assert Counter((r.doc_id, r.text) for r in got) == Counter(map(tuple, want)), name
+
+
+def test_tokens_give_the_text_again(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = cp.tokens(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.decoded) for r in got) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert all(r.n_tokens * 4 == len(r.ids) for r in got)
