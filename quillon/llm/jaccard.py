@@ -107,8 +107,9 @@ def alike(pairs: DataFrame, keyed: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def may_be_alike(pairs: DataFrame) -> DataFrame:
-    """a, b of pairs(a, b, na, nb, c) whose c shared prefix shingles leave room for enough overlap: what is shared is in both prefixes or after the one that ends first."""
+    """a, b of pairs(a, b, na, nb, c) whose c shared prefix shingles leave room for enough overlap, as do their sizes: what is shared is in both prefixes or after the one that ends first."""
     rest = lambda n: F.floor((P * F.col(n) + Q - 1) / Q) - 1
+    pairs = pairs.where(Q * F.least("na", "nb") >= P * F.greatest("na", "nb"))
     return pairs.where((P + Q) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= P * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
