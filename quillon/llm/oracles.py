@@ -40,3 +40,18 @@ c AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN regexp_matches(host, '(^|[^a-z0-9])(adult|adserver|bet|bets|betting|bingo|casino|casinos|doubleclick|escort|escorts|gambling|jackpot|lottery|payday|phishing|pills|poker|porn|sex|slots|spam|torrent|viagra|warez|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM c
 """
+
+_ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+_KINDS = (("assign", 0, _ASSIGN, f"length(regexp_extract(h, '{_ASSIGN}', 1)) >= 6"), ("access", 1, "AKIA[A-Z0-9]+", "length(h) >= 20"), ("hex", 2, "[0-9a-f]+", "length(h) >= 24"))
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, start, {k} AS kind, start + length(h) AS stop, '{name}' AS name FROM (
+  SELECT doc_id, hits[i] AS h, list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0)::BIGINT AS start FROM (
+    SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE regexp_matches(text, '{quick}')))) WHERE {ok}"""
+    for (name, k, pattern, ok), quick in zip(_KINDS, (_ASSIGN, "AKIA[A-Z0-9]{16}", "[0-9a-f]{24}"), strict=True)
+)
+secrets_base = f"""
+WITH m AS ({_MATCHES}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS s FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

@@ -48,10 +48,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _base_columns():
+    count = lambda name: F.size(F.filter("base", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
+    return count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-    count = lambda name: F.size(F.filter("base", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+    return out.select("doc_id", *_base_columns(), secrets.joined("spans").alias("spans"))
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *_base_columns())
 
 
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +68,11 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    ops = (op1_substring_dedup, op2_bpe, op3_quality_rules, op4_simhash, op5_media, op6_mixing, op7_html_text, op8_url_filter, op9_secrets, op10_quality_cnn)
+    ops = (op1_substring_dedup, op2_bpe, op3_quality_rules, op4_simhash, op5_media, op6_mixing, op7_html_text, op8_url_filter, op9_secrets, op10_quality_cnn, secrets_base)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql():
     from . import oracles
 
-    return {k: v for k, v in vars(oracles).items() if k.startswith("op")}
+    return {k: v for k, v in vars(oracles).items() if k in queries()}
