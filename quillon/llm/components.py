@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import written
+from .util import discard, written
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         small = joined.selectExpr("a", "m b").union(joined.where("b <> m").selectExpr("b a", "m b")).distinct()
         after = written(small, "small")
         same = edges.exceptAll(after).isEmpty() and after.count() == edges.count()
+        discard(edges, large)
         edges = after
         if same:
             break

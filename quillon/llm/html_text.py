@@ -12,6 +12,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .util import in_batches
+
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements inside of a line; any other one ends a block.
@@ -127,4 +129,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 part = b.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([main_text(x) for x in part.column("html").to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    return in_batches(pages.selectExpr("cast(page_id as long) page_id", "url", "html"), run, "page_id long, url string, text string")

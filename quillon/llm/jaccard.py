@@ -1,21 +1,24 @@
 """Near-duplicates by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, none missed.
 
-In any one order of all shingles, two such sets share one of their first n - ceil(0.8 n) + 1 (their prefix). Sets that share a prefix shingle are
-candidates; how many they share bounds their overlap, 16 bits of each shingle bound it closer, and what is left is compared in full. Frequent shingles come last in
-the order, so that common passages make no candidates. A first round compares each set with one centre of each bucket alone, so that a large
-group of near copies is found by its stars and not by its pairs; a second one compares what shares a bucket and is not yet joined.
+SimHash proposes first: sets whose fingerprints differ by four bits or fewer are candidates, as are, for what four bits miss, sets that share a rare shingle: in any one
+order of all shingles, two similar sets share one of their first n - ceil(0.8 n) + 1 (their prefix). How many they share bounds their overlap, 16 bits of each shingle
+bound it closer, and what is left is compared in full: only that links two texts. Frequent shingles come last in the order, so that common passages make no
+candidates. A first round compares each set with one centre of each bucket alone, so that a large group of near copies is found by its stars and not by its pairs; a
+second one compares what shares a bucket and is not yet joined.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import _LOWER, grouped, one_row_each
-from .util import row_slices, spans_hash, text_buffers, tokens, written
+from .simhash import _LOWER, grouped, majority, one_row_each
+from .simhash import links as near_fingerprints
+from .util import Words, chained, discard, in_batches, row_slices, text_buffers, written
 
 SHINGLE = 5
 #: Similarity as a fraction: sets of a and b shingles need an overlap of P * (a + b) / (P + Q) at least, being at least P / Q similar.
@@ -29,22 +32,28 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE):
     """Of each slice of rows: its first row, the sorted distinct 64-bit names of all rows' shingles, and each row's edges in these."""
     offs, raw = text_buffers(texts)
     for i, j in row_slices(offs):
-        row, _, _, name = tokens(offs[i : j + 1] - offs[i], _FOLD[raw[offs[i] : offs[j]]])
+        words = Words(offs[i : j + 1] - offs[i], _FOLD[raw[offs[i] : offs[j]]])
+        row, name = words.row, words.names()
         edge = np.searchsorted(row, np.arange(j - i + 1))
-        words = np.diff(edge)
-        count = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
+        n = np.diff(edge)
+        count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
         first = np.r_[0, np.cumsum(count)]
         start = np.arange(first[-1]) - np.repeat(first[:-1] - edge[:-1], count)
-        h = spans_hash(name, start, np.minimum(start + shingle, np.repeat(edge[1:], count)))
+        h = chained(name, start, np.minimum(start + shingle, np.repeat(edge[1:], count)), shingle)
         sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield i, np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
 
 
+def set_names(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set."""
+    return np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+
+
 def _names(batches):
     for b in batches:
         for i, h, edge in shingle_sets(b.column("text")):
             part = b.slice(i, len(edge) - 1)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(spans_hash(h, edge[:-1], edge[1:]).view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(set_names(h, edge)), pa.array(majority(h, edge).view(np.int64))], names=["doc_id", "text_hash", "fp", "sim"])
 
 
 def _all(batches):
@@ -66,7 +75,7 @@ def _prefixes(last: np.ndarray):
                 else:
                     ordered = h
                 keep = np.arange(len(h)) - edge[owner] < k[owner]
-                fp = spans_hash(h, edge[:-1], edge[1:]).view(np.int64)
+                fp = set_names(h, edge)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[owner[keep]]), pa.array(n[owner[keep]]), pa.array(ordered[keep].view(np.int64))], names=["fp", "n", "shingle"])
 
     return run
@@ -76,7 +85,7 @@ def _whole(batches):
     for b in batches:
         for _, h, edge in shingle_sets(b.column("text")):
             spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-            fp = spans_hash(h, edge[:-1], edge[1:]).view(np.int64)
+            fp = set_names(h, edge)
             brief = (h >> np.uint64(48)).astype("<u2")
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array([brief[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([h[s:e].tobytes() for s, e in spans], pa.binary())], names=["fp", "brief", "whole"])
 
@@ -98,11 +107,15 @@ def alike(pairs: DataFrame, keyed: DataFrame, own: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of names those whose sets are P / Q similar. own(fp, rep): the row of keyed(key, text) that has the set."""
     pairs = written(pairs, "candidates")
     names = pairs.selectExpr("a fp").union(pairs.selectExpr("b fp")).distinct()
-    sets = keyed.join(own.join(names, "fp").selectExpr("rep key"), "key").select("text").mapInArrow(_whole, "fp long, brief binary, whole binary").dropDuplicates(["fp"])
-    sets = written(sets, "sets")
+    texts = keyed.join(own.join(names, "fp").selectExpr("rep key"), "key").select("text")
+    sets = written(in_batches(texts, _whole, "fp long, brief binary, whole binary").dropDuplicates(["fp"]), "sets")
+    side = lambda k, v, column: sets.select(F.col("fp").alias(k), F.col(column).alias(v))
     for column, kind in (("brief", "<u2"), ("whole", "<u8")):
-        side = lambda k, v: sets.select(F.col("fp").alias(k), F.col(column).alias(v))  # noqa: B023, E731
-        pairs = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_alike(kind), "a long, b long"), "alike")
+        both = pairs.join(side("a", "x", column), "a").join(side("b", "y", column), "b")
+        less = written(in_batches(both, _alike(kind), "a long, b long"), "alike")
+        discard(pairs)
+        pairs = less
+    discard(sets)
     return pairs
 
 
@@ -113,38 +126,53 @@ def may_be_alike(pairs: DataFrame) -> DataFrame:
     return pairs.where((P + Q) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= P * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def by_fingerprint(own: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): pairs of names that join all sets of own(fp, sim) whose SimHashes link, each but the least one of a fingerprint with that one, and these by the links of theirs."""
+    sims = written(own.groupBy("sim").agg(F.min("fp").alias("low")), "sims")
+    same = own.join(sims, "sim").where("fp <> low").selectExpr("fp a", "low b")
+    near = near_fingerprints(sims.selectExpr("sim fp"), radius)
+    near = near.join(sims.selectExpr("sim a", "low la"), "a").join(sims.selectExpr("sim b", "low lb"), "b").selectExpr("la a", "lb b")
+    return same.union(near)
+
+
 def links(keyed: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of similar sets."""
-    seen = keyed.where(F.pmod(F.xxhash64(F.lit(SHARE), "text"), F.lit(SHARE)) == 0).select("text").mapInArrow(_all, "shingle long")
+    seen = in_batches(keyed.where(F.pmod(F.xxhash64(F.lit(SHARE), "text"), F.lit(SHARE)) == 0).select("text"), _all, "shingle long")
     often = seen.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(LAST)
     last = np.sort(np.array([r.shingle for r in often.collect()], np.int64)).view(np.uint64)
-    rows = written(keyed.select("text").mapInArrow(_prefixes(last), "fp long, n long, shingle long"), "prefixes")
-    buckets = rows.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle", "low")
-    shared = written(rows.join(written(buckets, "buckets"), "shingle").distinct(), "shared")
+    rows = written(in_batches(keyed.select("text"), _prefixes(last), "fp long, n long, shingle long"), "prefixes")
+    buckets = written(rows.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle", "low"), "buckets")
+    shared = written(rows.join(buckets, "shingle").distinct(), "shared")
+    discard(rows, buckets)
     size = shared.groupBy("fp").agg(F.first("n").alias("n"))
     stars = shared.where("fp <> low").groupBy("fp", "low").agg(F.first("n").alias("na"), F.count("*").alias("c"))
     stars = stars.join(size.selectExpr("fp low", "n nb"), "low").selectExpr("fp a", "low b", "na", "nb", "c")
-    near = alike(may_be_alike(stars), keyed, own)
+    proposed = by_fingerprint(own).union(may_be_alike(stars))
+    near = alike(proposed.selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), keyed, own)
     roots = components(near).withColumnRenamed("node", "fp")
     placed = written(shared.join(roots, "fp", "left").select("shingle", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    discard(shared)
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
     left = written(placed.join(mixed, "shingle"), "apart")
+    discard(placed)
     one, other = left.selectExpr("shingle", "fp a", "n na", "root ra"), left.selectExpr("shingle", "fp b", "n nb", "root rb")
     pairs = one.join(other, "shingle").where(f"a < b and ra <> rb and {Q} * least(na, nb) >= {P} * greatest(na, nb)")
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
-    return near.union(alike(may_be_alike(pairs), keyed, own))
+    more = alike(may_be_alike(pairs), keyed, own)
+    discard(left)
+    return near.union(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, fp (the name of its set of shingles), component_id, text_hash, as simhash.near_duplicates has them.
 
     Texts are lower-cased (A-Z) and cut into words; one of fewer words than a shingle is one shingle, and texts without words are alike. Shingles
-    are 64-bit names of their words.
+    are 64-bit names of their words. Rows of a null doc_id link others too; a component of these alone has a null id. Repeated rows come back as often.
     """
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(_names, "doc_id long, text_hash long, fp long")
+    own = in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash"), _names, "doc_id long, text_hash long, fp long, sim long")
     own = written(own, "names")
-    reps = written(own.groupBy("fp").agg(F.min(F.xxhash64("doc_id", "text_hash")).alias("rep")), "reps")
+    reps = written(own.groupBy("fp").agg(F.min(F.xxhash64("doc_id", "text_hash")).alias("rep"), F.min("sim").alias("sim")), "reps")
     return grouped(own, lambda _: links(keyed, reps))
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .util import row_slices, text_buffers
+from .util import in_batches, row_slices, text_buffers
 
 PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
 UNIT, TICK, GOP = 4096, 3600, 16
@@ -145,7 +145,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 media = [mux(padded(raw[offs[k] : offs[k + 1]].tobytes())) for k in range(i, j)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(np.diff(offs[i : j + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def from_media(media: DataFrame) -> DataFrame:
@@ -165,4 +165,4 @@ def from_media(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "access"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, access array<long>")
+    return in_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, access array<long>")

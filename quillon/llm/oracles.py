@@ -55,3 +55,20 @@ WITH m AS ({_MATCHES}),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS s FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """
+
+quality_counts = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+g AS (SELECT doc_id, p, [ws[p], ws[p + 1], ws[p + 2]] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+c AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM (SELECT doc_id, p, unnest(range(0, 3)) AS o FROM r) GROUP BY doc_id),
+q AS (SELECT l.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN c ON c.doc_id = l.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q
+"""
+
+media_payload = """
+WITH b AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT *, CASE WHEN n = 0 THEN 64 ELSE (n + 63) // 64 * 64 END AS m FROM b)
+SELECT doc_id, n AS n_bytes, m::BIGINT AS payload_bytes, sha256(encode(text) || repeat('\\x00'::BLOB, m - n)) AS payload_sha256 FROM p
+"""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import row_slices, text_buffers
+from .util import in_batches, row_slices, text_buffers
 
 WIDTH, FILTERS, CHUNK = 6, 16, 512
 HALF = CHUNK // 2
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame) -> DataFrame:
                 out.append(b"".join(t[h * HALF : h * HALF + _PIECE].ljust(_PIECE, b"\0") for h in at))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], names=["doc_id", "quality", "pieces"])
 
-    return docs.mapInArrow(run, "doc_id long, quality int, pieces binary")
+    return in_batches(docs, run, "doc_id long, quality int, pieces binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ByteCNN:
@@ -161,7 +161,7 @@ def score(docs: DataFrame, net: ByteCNN) -> DataFrame:
             for i, j in row_slices(offs, 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(net.probability(offs[i : j + 1] - offs[i], raw[offs[i] : offs[j]]))], names=["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = SAMPLE) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import _TAB, _WS, mix, row_slices, spans_hash, text_buffers, tokens
+from .util import _WS, Words, in_batches, numbered, pairs, row_slices, text_buffers
 
 #: Labelled documents that training reads at most: those of least hashed doc_id.
 SAMPLE = 8192
@@ -32,9 +32,10 @@ _POINT = ((np.arange(256) & 0xC0) != 0x80).astype(np.int8)
 
 
 def counts(offsets: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
-    """The COUNTS of each row of a slice of texts."""
+    """The COUNTS of each row of a slice of texts; words, lines and windows are compared by their bytes."""
     rows = len(offsets) - 1
-    row, _, _, tok = tokens(offsets, raw)
+    words = Words(offsets, raw)
+    row = words.row
 
     def per_row(table):
         total = np.zeros(len(raw) + 1, np.int64)
@@ -42,34 +43,30 @@ def counts(offsets: np.ndarray, raw: np.ndarray) -> dict[str, np.ndarray]:
         return total[offsets[1:]] - total[offsets[:-1]]
 
     out = {"n_words": np.bincount(row, minlength=rows), "word_chars": per_row(_POINT * ~_WS), "n_symbols": per_row(_SYMBOL), "n_upper": per_row(_UPPER), "n_letters": per_row(_LETTER), "n_digits": per_row(_DIGIT), "n_marks": per_row(_MARK), "n_bytes": np.diff(offsets)}
-    # lines with a word, and how many equal an earlier one
+    # lines with a word, and how many equal an earlier one of their row
     ends = np.flatnonzero(raw == 10)
     start = np.unique(np.r_[offsets[:-1], ends + 1])
     start = start[start < len(raw)]
     stop = np.r_[start, len(raw)][1:]
     stop = stop - (raw[stop - 1] == 10)
+    line, _ = numbered(raw[raw != 10], stop - start)
     ink = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(~_WS[raw], out=ink[1:])
+    np.cumsum(words.ink, out=ink[1:])
     worded = ink[stop] > ink[start]
-    start, stop = start[worded], stop[worded]
-    line_row = np.searchsorted(offsets, start, "right") - 1
-    line = mix(spans_hash(_TAB[raw], start, stop) + line_row.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-    _, first = np.unique(line, return_index=True)
+    line_row = np.searchsorted(offsets, start[worded], "right") - 1
+    line = pairs(line_row, line[worded])  # numbers come in order of first appearance
+    again = line <= np.r_[-1, np.maximum.accumulate(line)[:-1]] if len(line) else np.zeros(0, bool)
     out["n_lines"] = np.bincount(line_row, minlength=rows)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(line_row[first], minlength=rows)
+    out["n_dup_lines"] = np.bincount(line_row[again], minlength=rows)
     # words of 3-word windows found twice or more in their row
-    n, repeat = len(tok), np.zeros(rows, np.int64)
+    n, repeat = len(row), np.zeros(rows, np.int64)
     if n >= 3:
-        p = np.flatnonzero(row[:-2] == row[2:])
-        name = mix(spans_hash(tok, p, p + 3) + mix(row[p].astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(name)
-        same = name[order][1:] == name[order][:-1]
-        again = np.zeros(len(p), bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        word, q = np.zeros(n, bool), p[again]
+        p, w = np.flatnonzero(row[:-2] == row[2:]), words.number
+        window = pairs(row[p], pairs(pairs(w[:-2], w[1:-1]), w[2:])[p])
+        often = p[np.bincount(window)[window] > 1] if len(p) else p
+        word = np.zeros(n, bool)
         for k in range(3):
-            word[q + k] = True
+            word[often + k] = True
         repeat = np.bincount(row[word], minlength=rows)
     out["n_repeat_words"] = repeat
     return out
@@ -161,7 +158,7 @@ def statistics(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
                 score = trees.probability(features(c)) if trees else None
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *(pa.array(c[k].astype(np.int64)) for k in COUNTS), pa.array(score) if trees else pa.nulls(j - i, pa.float64())], names=["doc_id", *COUNTS, "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
+    return in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
 
 
 def sampled_labels(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -198,7 +195,7 @@ def keep(docs: DataFrame, trees: Trees | None, threshold: float = 0.5) -> DataFr
                     ok &= trees.probability(features(c)) >= threshold
                 yield b.slice(i, j - i).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = SAMPLE) -> DataFrame:

@@ -26,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), radius=4, shingle=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,6 +41,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    return op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,7 +78,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    ops = (op1_substring_dedup, op2_bpe, op3_quality_rules, op4_simhash, op5_media, op6_mixing, op7_html_text, op8_url_filter, op9_secrets, op10_quality_cnn, secrets_base)
+    ops = (op1_substring_dedup, op2_bpe, op3_quality_rules, op4_simhash, op5_media, op6_mixing, op7_html_text, op8_url_filter, op9_secrets, op10_quality_cnn, quality_counts, media_payload, secrets_base)
     return {f.__name__: f for f in ops}
 
 

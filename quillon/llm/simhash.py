@@ -3,9 +3,9 @@
 Two fingerprints of `radius` differing bits or fewer agree on all but `radius` of any set of bit blocks. Each distinct fingerprint goes to the
 bucket of every choice of blocks that may be the equal ones; more blocks are taken as there are more fingerprints, which keeps buckets small and loses no link.
 In a bucket, bit planes are stored vertically (a word holds one bit of 64 fingerprints), so that one XOR updates 64 distances;
-distances are counted by carry-save bitwise counters, and a block is abandoned once all its distances exceed the radius. A bucket larger than a
-tile is compared as pairs of tiles, each a task of bounded size. A tile gives a star of each group that it finds, not its pairs;
-the stars' components are found by joins.
+distances are counted by carry-save bitwise counters, and a block (the 64 fingerprints of a word) is abandoned once all its distances exceed the radius. The members of a
+bucket larger than a tile go to the buckets of further blocks, which cut the bits crosswise: near ones agree on some of these too. What is then still larger than a tile
+is compared as pairs of tiles, each a task of bounded size. A tile gives a star of each group that it finds, not its pairs; the stars' components are found by joins.
 """
 
 from __future__ import annotations
@@ -16,42 +16,52 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import row_slices, text_buffers, written
+from .util import discard, in_batches, row_slices, text_buffers, written
 
 _U = np.uint64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 TILE = 2048
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
+def majority(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Of each group h[edge[i]:edge[i + 1]] the bits that are set in over half of its hashes; zero for an empty one."""
+    out = np.zeros(len(edge) - 1, np.uint64)
+    for i, j in row_slices(edge, 1 << 16):
+        ones = np.zeros((j - i, 64), np.int64)
+        for a in range(int(edge[i]), int(edge[j]), 1 << 16):  # a long group comes in several parts
+            b = min(a + (1 << 16), int(edge[j]))
+            bits = np.unpackbits(h[a:b].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            at = np.clip(edge[i : j + 1] - a, 0, b - a)
+            some = np.flatnonzero(at[1:] > at[:-1])
+            ones[some] += np.add.reduceat(bits, at[:-1][some], axis=0, dtype=np.int64)
+        out[i:j] = np.packbits(2 * ones > np.diff(edge[i : j + 1])[:, None], axis=1).view(">u8")[:, 0]
+    return out
+
+
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of each shingle of a text, repeats included; of the whole sequence if it has fewer words; none without words."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    size = np.cumsum([len(w) + 1 for w in words])
-    starts = np.r_[0, size[:-1]]
-    if len(words) <= shingle:
-        spans = [(0, len(joined))]
-    else:
-        spans = zip(starts[: len(words) - shingle + 1].tolist(), (size[shingle - 1 :] - 1).tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 4096):
-        ones += np.unpackbits(h[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.r_[0, ends[:-1]]
+    digest, count = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    return [digest(joined[a:b], 42) for a, b in zip(starts[:count].tolist(), (ends[len(words) - count :] - 1).tolist(), strict=True)]
 
 
 def _fingerprints(shingle: int):
     def run(batches):
         for b in batches:
             offs, raw = text_buffers(b.column("text"))
-            fp = np.array([fingerprint(raw[offs[i] : offs[i + 1]].tobytes(), shingle) for i in range(len(b))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            for i, j in row_slices(offs):
+                hashes = [shingle_hashes(raw[offs[k] : offs[k + 1]].tobytes(), shingle) for k in range(i, j)]
+                fp = majority(np.array([x for h in hashes for x in h], np.uint64), np.r_[0, np.cumsum([len(h) for h in hashes])])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("text_hash").slice(i, j - i), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     return run
 
@@ -76,9 +86,9 @@ def within(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int) -> tupl
         over[np.arange(width)[None, :] < (q // 64)[:, None]] = ~_U(0)
         over[q, q // 64] |= ~_U(0) >> (_U(63) - (q % 64).astype(np.uint64))
     counter = [np.zeros_like(over) for _ in range(bits)]
-    limit = radius + 1
+    limit, cols = radius + 1, np.arange(width)
     for k in range(64):
-        carry = sliced[k][None, :] ^ (_U(0) - ((queries >> _U(k)) & _U(1)))[:, None]
+        carry = sliced[k, cols][None, :] ^ (_U(0) - ((queries >> _U(k)) & _U(1)))[:, None]
         for c in counter:  # carry-save: the sum stays in the counter, the carry goes on
             carry, c[...] = c & carry, c ^ carry
         over |= carry
@@ -94,13 +104,16 @@ def within(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int) -> tupl
                         ge |= eq & counter[j]
                         eq = eq & ~counter[j]
                 over |= ge | eq
-            if (over == ~_U(0)).all():
+            alive = (over != ~_U(0)).any(0)
+            if not alive.any():
                 z = np.zeros(0, np.int64)
                 return z, z
+            if alive.sum() <= 0.75 * len(cols):  # blocks whose distances all exceed the radius are left out of the other planes
+                cols, over, counter = cols[alive], over[:, alive], [c[:, alive] for c in counter]
     hit_q, hit_w = np.nonzero(~over)
     bit = np.unpackbits((~over[hit_q, hit_w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     at, i = np.nonzero(bit)
-    return hit_q[at], hit_w[at] * 64 + i
+    return hit_q[at], cols[hit_w[at]] * 64 + i
 
 
 class _Forest:
@@ -179,6 +192,13 @@ def _compare(radius: int):
     return run
 
 
+def _to_buckets(df: DataFrame, bucket, masks: list[int]) -> DataFrame:
+    """fp, and a bucket for each mask: the one of those that agree with it on the mask's bits and on `bucket`."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)))
+    return df.select("fp", bucket.alias("inside"), F.explode(keys).alias("k")).select("fp", F.xxhash64("inside", "k.t", "k.v").alias("bucket"))
+
+
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE, n: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp long) -> (a, b): links whose components are those of all pairs of `radius` differing bits or fewer."""
     n = fps.count() if n is None else n
@@ -188,17 +208,19 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE, n: int | None = Non
         blocks += 1
     cut = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << (cut[i + 1] - cut[i])) - 1) << cut[i] for i in c) for c in itertools.combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)))).alias("k")).select("fp", F.xxhash64("k.t", "k.v").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = written(sizes, "buckets")
+    crosswise = [sum(1 << k for k in range(i, 64, radius + 1)) for i in range(radius + 1)]
+    sized = lambda d: d.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    keyed = _to_buckets(fps, F.lit(0), masks)
+    sizes = written(sized(keyed), "buckets")
+    finer = written(_to_buckets(keyed.join(sizes.where(F.col("size") > tile), "bucket"), F.col("bucket"), crosswise), "finer")
+    keyed = keyed.join(sizes.where(F.col("size") <= tile), "bucket").union(finer.join(written(sized(finer), "buckets"), "bucket").select("bucket", "fp", "size"))
     tiles = F.ceil(F.col("size") / tile).cast("int")
     own = F.pmod(F.xxhash64("fp", "bucket"), F.col("tiles")).cast("int")
-    placed = keyed.join(sizes.withColumn("tiles", tiles), "bucket").withColumn("own", own)
+    placed = keyed.withColumn("tiles", tiles).withColumn("own", own)
     # tile pairs (i, j), i <= j: a fingerprint of tile t takes part in each pair that has t
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     pairs = placed.select("fp", "bucket", "own", other).select("fp", (F.col("own") <= F.col("other")).alias("is_left"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    return pairs.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(radius), "a long, b long")
+    return in_batches(pairs.repartition("task").sortWithinPartitions("task"), _compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -208,7 +230,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     one without words (null, empty) has fingerprint zero. component_id is the smallest doc_id reachable by links, the row's own included. Rows of a null
     doc_id link others too; a component of these alone has a null id. Repeated rows come back as often.
     """
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
+    own = in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash"), _fingerprints(shingle), "doc_id long, text_hash long, fp long")
     return grouped(written(own, "fingerprints"), lambda fps: links(fps, radius))
 
 
@@ -242,6 +264,5 @@ def one_row_each(docs: DataFrame, near: DataFrame) -> DataFrame:
     # the row is kept as one column, so that no name of docs can clash with these
     rows = key(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")))
     of = lambda which: rows.join(chosen.where(which).hint("shuffle_hash"), "key").where("hash = c_hash and id <=> c_id")
-    # both joins read one exchange of the rows; only repeated rows of one id and text move again, and one is left
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("hash"))
-    return of("n = 1").select("row.*").union(of("n > 1").withColumn("nth", nth).where("nth = 1").select("row.*"))
+    # both joins read one exchange of the rows; of the repeated rows of one id and text one is left, before any of them moves again
+    return of("n = 1").select("row.*").union(of("n > 1").groupBy("key").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row")).select("row.*"))

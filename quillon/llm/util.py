@@ -1,38 +1,25 @@
-"""Shared pieces of the training-data operators: token hashing on Arrow buffers, shared-folder tables."""
+"""Shared pieces of the training-data operators: words as exact numbers and as 64-bit names, Arrow batches of bounded size, tables in the shared folder."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and \t\n\v\f\r (ASCII white space, as bytes.split()).
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+#: Bytes of text that numpy works on at once, and that Spark sends to Python at once (one row at least).
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 64 << 20
 
 _U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
-_TAB = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_pow: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64; kept and doubled as longer ones are asked for."""
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        a = np.full(max(n, 1 << 16) if have is None else max(n, 2 * len(have)), _U(base), np.uint64)
-        a[0] = 1
-        _pow[base] = have = np.multiply.accumulate(a)
-    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,15 +32,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name of values[start:end] for each span, by content alone."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-
-
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows) and UTF-8 bytes; a null text is empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -72,27 +50,69 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         i = min(j, n)
 
 
-def tokens(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its row, first byte, end byte (in `raw`) and a 64-bit name of its bytes."""
-    n = len(raw)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
-    ink = ~_WS[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    first, last = ink.copy(), ink.copy()
-    first[1:] &= ~ink[:-1] | edge[1:n]
-    last[:-1] &= ~ink[1:] | edge[1:n]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    row = np.searchsorted(offsets, s, "right") - 1
-    return row, s, e, spans_hash(_TAB[raw], s, e)
+def numbered(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each of the strings that follow each other in data (equal numbers: equal bytes), and the distinct strings by number."""
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def renumbered(keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... for distinct whole numbers."""
+    return pa.array(keys).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers from 0 on (equal numbers: equal pairs)."""
+    return renumbered(a * (int(b.max(initial=0)) + 1) + b)
+
+
+class Words:
+    """The words of a slice of texts: row, first byte and end byte of each, `number` (equal: equal words) and, by number, the distinct ones."""
+
+    def __init__(self, offsets: np.ndarray, raw: np.ndarray):
+        n = len(raw)
+        self.ink = ink = ~_WS[raw]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        first, last = ink.copy(), ink.copy()
+        if n:
+            first[1:] &= ~ink[:-1] | edge[1:n]
+            last[:-1] &= ~ink[1:] | edge[1:n]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.row = np.searchsorted(offsets, self.start, "right") - 1
+        self.number, self.distinct = numbered(raw[ink], self.end - self.start)
+
+    def names(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit name of each word: XXH64 of its bytes."""
+        digest = xxhash.xxh64_intdigest
+        return np.array([digest(w, seed) for w in self.distinct.to_pylist()], np.uint64)[self.number]
+
+
+def chained(names: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """A 64-bit name of names[start:end] for each span of `most` names or fewer, in their order."""
+    h = mix((end - start).astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+    for k in range(most):
+        on = np.flatnonzero(start + k < end)
+        h[on] = mix(h[on] ^ names[start[on] + k]) if len(on) < len(h) else mix(h ^ names[start + k])
+    return h
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of BATCH_BYTES for the session at most: neither side holds more of a task's rows than that, or one long text."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where that is unset (tests), a folder of this session's own."""
+    """The folder that spark.checkpoint.dir names. Where that is unset, a session within one process (tests) gets a temporary one; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -103,16 +123,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished phases now, not at the driver's next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -120,5 +141,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def text_key(text="text"):
-    """Two longs that stand for a whole text."""
-    return F.xxhash64(F.col(text)), F.xxhash64(F.lit(7), F.col(text))
+    """SHA-256 of a text (equal: equal texts), and a long made of it to join by."""
+    digest = F.sha2(F.col(text), 256)
+    return F.xxhash64(digest), digest

@@ -49,6 +49,30 @@ def test_substring_dedup(spark, seed, vocabulary):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
 
 
+def thue_morse(n):
+    """Two different words of n characters that polynomial hashes modulo 2 ** 64 confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_only_equal_words_are_repeats(spark, n):
+    a, b = thue_morse(n)
+    words = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join(words[:20] + [a] + words[20:]), None), (2, " ".join(words[:20] + [b] + words[20:]), None), (3, " ".join([*words[:20], a, *words[20:], b]), None)]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (0, rows[1][1]), 3: (50, b)}
+
+
+def test_substring_dedup_of_long_texts_and_runs(spark):
+    """Texts of more words than a slice holds, runs of one word longer than a window, and periodic text."""
+    rnd = random.Random(8)
+    long = [f"v{rnd.randint(0, 10**6)}" for _ in range(400_000)]
+    rows = [(5, " ".join(long), None), (6, " ".join(["x"] * 30 + long[1000:1400] + ["y"] * 60), None), (7, "\n".join(["y"] * 300), None), (8, " ".join(["a", "b", "c"] * 90), None), (9, " ".join(["b", "c", "a"] * 40), None), (10, "w" * 3_000_000, None)]
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute_dedup(rows, 50)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -130,6 +154,34 @@ def test_links_in_tiles(spark, tile):
     assert [group.get(x, x) for x in f] == comp
 
 
+def test_hot_bucket(spark):
+    """Many distinct fingerprints that agree on half of their bits: further blocks part them, and no link is lost."""
+    from quillon.llm.components import components
+    from quillon.llm.simhash import links
+
+    rng = np.random.default_rng(7)
+    f = {int(x) for x in rng.integers(0, 2**31, 600)}
+    for x in list(f)[:150]:
+        for k in rng.choice(31, int(rng.integers(1, 5)), replace=False):
+            x ^= 1 << int(k)
+        f.add(x)
+    f = sorted(f)
+    got = {r.node: r.root for r in components(links(spark.createDataFrame([(x,) for x in f], "fp long"), 4, 32)).collect()}
+    assert [got.get(x, x) for x in f] == brute_components(f, f)
+
+
+def test_majority():
+    from quillon.llm.simhash import majority
+
+    rng = np.random.default_rng(1)
+    size = [0, 1, 5, 0, 70000, 3, 200000, 0]
+    h = rng.integers(0, 2**63, sum(size), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    edge = np.r_[0, np.cumsum(size)]
+    for got, a, b in zip(majority(h, edge).tolist(), edge[:-1], edge[1:], strict=True):
+        bits = (h[a:b, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        assert got == sum(1 << i for i in range(64) if 2 * int(bits[:, i].sum()) > b - a)
+
+
 def test_within():
     rng = np.random.default_rng(0)
     f = []

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline as cp
 from quillon.llm import quality_rules
 
-from .test_dedup import brute_components, brute_simhash
+from .test_jaccard import brute_groups
 from .test_scores import WORD, brute_counts, brute_targets
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
 
     one = stages["simhash near-dedup"](spark, kept, SF).cache()
     ks = kept.collect()
-    comp = brute_components([r.doc_id for r in ks], [brute_simhash(r.text) for r in ks])
+    comp = brute_groups([(r.doc_id, r.text) for r in ks])
     assert Counter(one.collect()) == Counter(r for r, c in zip(ks, comp, strict=True) if r.doc_id == c)
 
     clean = stages["secret scan"](spark, one, SF).cache()

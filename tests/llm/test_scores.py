@@ -58,6 +58,18 @@ def test_quality_rules(spark):
     assert [(r.n_words, r.score, r.base_failed, r.kept) for r in empty] == [(0, None, True, False)] * 2
 
 
+def test_counts_compare_bytes(spark):
+    from .test_dedup import thue_morse
+
+    texts = []
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        texts += [f"{a}\n{b}\n{a[:-1]}", f"x y {a} x y {b}", f"{a} {b} {a} {b} {a}", "é\n" * 3 + "\n \n" + a]
+    got = quality_rules.counts(*text_buffers(pa.array([*texts, None, "", "long " * 700_000])))
+    for i, t in enumerate([*texts, None, "", "long " * 700_000]):
+        assert tuple(got[k][i] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_counts(t)
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
