@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -25,17 +27,36 @@ def cases():
     return fixed + ["".join(rnd.choices(alphabet, k=rnd.randint(1, 3000))) for _ in range(120)] + ["".join(rnd.choices("etaoinshrd", k=rnd.randint(1, 4000))) for _ in range(40)]
 
 
-def test_tree_concatenation_is_the_library(library):
-    tree = bpe.TreeBPE(P.path(bpe.VOCABULARY), leaf=256, unsplit=32)
+@pytest.mark.parametrize("leaf,run", [(1, 1), (2, 8), (7, 8), (64, 32), (1024, 4096)])
+def test_tree_concatenation_is_the_library(library, leaf, run):
+    tree = bpe.TreeBPE(P.path(bpe.VOCABULARY), leaf, run)
     texts = cases()
-    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        ids = tree.encode(text)
+    for text, ids, want in zip(texts, tree.encode_all(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids.tolist() == want.ids
         assert tree.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
+    assert tree.joins > 100 and (leaf > 100 or tree.run_joins > 10)
+
+
+def test_tree_at_production_parameters(library):
+    """Whole documents, most of which are cut and joined."""
+    tree = bpe.TreeBPE(P.path(bpe.VOCABULARY))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for ids, want in zip(tree.encode_all(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids
+    assert tree.joins > 1000
+
+
+@pytest.mark.parametrize("text", ["abcdefgh" * 125_000, "etaoin" * 170_000, "日本語の文。" * 60_000, " " * 300_000, "!?" * 200_000, "don't'll" * 40_000])
+def test_text_without_a_space(library, text):
+    tree = bpe.TreeBPE(P.path(bpe.VOCABULARY))
+    began = time.time()
+    ids = tree.encode(text)
+    assert time.time() - began < 60 and tree.joins > 200
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and tree.decode(ids) == text
 
 
 def test_encode_and_decode(spark, library):
-    rows = [(i, t, "x", "y") for i, t in enumerate(cases()[:20])] + [(None, "null id", None, None), (3, None, None, None), (4, "again", "x", "y"), (4, "again", "x", "y")]
+    rows = [(i, t, "x", "y") for i, t in enumerate([*cases()[:20], "words of a long text " * 20000, "x" * 100000])] + [(None, "null id", None, None), (3, None, None, None), (4, "again", "x", "y"), (4, "again", "x", "y")]
     got = bpe.decode(bpe.encode(spark.createDataFrame(rows, SCHEMA))).collect()
     want = sorted((r[0] is None, r[0] or 0, np.array(library.encode(r[1] or "", add_special_tokens=False).ids, "<u4").tobytes(), r[1] or "") for r in rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), r.decoded) for r in got) == want
