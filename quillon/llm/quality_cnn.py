@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Filters over WIDTH bytes slide over chunks of CHUNK bytes that overlap by half and cover the whole text. Each chunk is max-pooled; a text's features are the largest and the mean of its
-chunks' maxima, and a logistic unit combines them. A first layer over bytes is a table for each place in the filter, so that its convolution is a sum of look-ups.
+chunks' maxima, and a logistic unit combines them, in training as in scoring. A first layer over bytes is a table for each place in the filter, so that its convolution is a sum of look-ups.
 """
 
 from __future__ import annotations
@@ -15,10 +15,8 @@ from .util import in_batches, row_slices, text_buffers
 
 WIDTH, FILTERS, CHUNK = 6, 16, 512
 HALF = CHUNK // 2
-#: Labelled documents that training reads at most (those of least hashed doc_id), half chunks of each that it keeps at most (spread over the whole text), and
-#: half chunks of each that one pass takes at most. Scoring has no such bounds.
-SAMPLE, KEPT, HALVES = 3000, 64, 16
-_PIECE = HALF + WIDTH - 1
+#: Labelled documents that training reads at most (those of least hashed doc_id), each with its whole text, as in scoring.
+SAMPLE = 3000
 
 
 def held_out(doc_id="doc_id"):
@@ -32,8 +30,10 @@ class ByteCNN:
         self.bias = np.zeros(FILTERS, np.float32)
         self.out, self.shift = rng.normal(0, 0.05, 2 * FILTERS), 0.0
 
-    def halves(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maxima of each half chunk of each text, and each text's first half. Texts are followed by WIDTH - 1 bytes 0; an empty one has one half."""
+    def halves(self, offsets: np.ndarray, raw: np.ndarray):
+        """Of each half chunk of each text the maxima of the filters and their places in the returned bytes; and each text's first half.
+
+        Texts are followed by WIDTH - 1 bytes 0; an empty one has one half."""
         size = np.diff(offsets)
         room = np.maximum(-(-size // HALF), 1) * HALF
         first = np.r_[0, np.cumsum(room + WIDTH - 1)]
@@ -43,40 +43,41 @@ class ByteCNN:
         owner = np.repeat(np.arange(len(size)), count)
         edge = np.r_[0, np.cumsum(count)]
         start = first[owner] + (np.arange(len(owner)) - edge[owner]) * HALF
-        best = np.empty((len(owner), FILTERS), np.float32)
+        best, place = np.empty((len(owner), FILTERS), np.float32), np.empty((len(owner), FILTERS), np.int64)
         for i in range(0, len(owner), 256):
             at = start[i : i + 256, None] + np.arange(HALF)
             x = self.tables[0][data[at]]
             for j in range(1, WIDTH):
                 x += self.tables[j][data[at + j]]
-            best[i : i + 256] = x.max(1)
-        return np.maximum(best + self.bias, 0), edge
+            where = x.argmax(1)
+            best[i : i + 256] = np.take_along_axis(x, where[:, None], 1)[:, 0]
+            place[i : i + 256] = where + start[i : i + 256, None]
+        return np.maximum(best + self.bias, 0), place, data, edge
 
     @staticmethod
-    def pooled(best: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Features of each text: of its chunks (each two neighbouring halves, or the only one) the largest maxima and their means."""
-        last = np.ones(len(best), bool)
-        last[: len(best) - 1] = False
-        last[edge[1:] - 1] = True
-        chunk = np.maximum(best, np.r_[best[1:], best[-1:]])
-        alone = np.diff(edge) == 1
-        chunk[last] = best[last]
-        keep = ~last
-        keep[edge[:-1][alone]] = True
-        begin = np.r_[0, np.cumsum(np.add.reduceat(keep.astype(np.int64), edge[:-1]))]
-        chunk = chunk[keep]
+    def pooled(best: np.ndarray, edge: np.ndarray):
+        """Features of each text: of its chunks (each two neighbouring halves, or the only one) the largest maxima and their means. And of each chunk
+        its first half, which of its two halves has each maximum, and the edges of texts in chunks."""
+        count = np.diff(edge)
+        chunks = np.maximum(count - 1, 1)
+        begin = np.r_[0, np.cumsum(chunks)]
+        first = np.arange(begin[-1]) + np.repeat(edge[:-1] - begin[:-1], chunks)
+        second = first + np.repeat(count > 1, chunks)
+        later = best[second] > best[first]
+        chunk = np.where(later, best[second], best[first])
         top = np.maximum.reduceat(chunk, begin[:-1], axis=0)
-        mean = np.add.reduceat(chunk, begin[:-1], axis=0, dtype=np.float64) / np.diff(begin)[:, None]
-        return np.hstack([top, mean])
+        mean = np.add.reduceat(chunk, begin[:-1], axis=0, dtype=np.float64) / chunks[:, None]
+        return np.hstack([top, mean]), first, later, begin
 
     def probability(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros(0)
-        x = self.pooled(*self.halves(offsets, raw)) @ self.out + self.shift
+        best, _, _, edge = self.halves(offsets, raw)
+        x = self.pooled(best, edge)[0] @ self.out + self.shift
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 11) -> ByteCNN:
-        """Adam on the logistic loss, over each text's pieces (rows of _PIECE bytes); gradients flow through the places of the maxima alone."""
+        """Adam on the logistic loss, over whole texts (bytes); gradients flow through the places of the maxima alone."""
         rng = np.random.default_rng(seed)
         mean = np.clip(labels.mean(), 0.01, 0.99)
         self.shift = float(np.log(mean / (1 - mean)))
@@ -87,31 +88,22 @@ class ByteCNN:
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
-                pick, parts, owner = order[i : i + batch], [], []
-                for k, t in enumerate(pick):
-                    chosen = texts[t][rng.permutation(len(texts[t]))[:HALVES]]
-                    parts.append(chosen)
-                    owner += [k] * len(chosen)
-                data, owner = np.vstack(parts), np.array(owner)
-                x = self.tables[0][data[:, :HALF]]
-                for j in range(1, WIDTH):
-                    x = x + self.tables[j][data[:, j : j + HALF]]
-                where = x.argmax(1)
-                best = np.maximum(np.take_along_axis(x, where[:, None], 1)[:, 0] + self.bias, 0)
-                begin = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
-                size = np.diff(np.r_[begin, len(owner)])
-                top = np.maximum.reduceat(best, begin, axis=0)
-                feats = np.hstack([top, np.add.reduceat(best, begin, axis=0) / size[:, None]])
+                pick = order[i : i + batch]
+                best, place, data, edge = self.halves(np.r_[0, np.cumsum([len(texts[t]) for t in pick])], np.concatenate([texts[t] for t in pick]))
+                feats, first, later, begin = self.pooled(best, edge)
                 p = 1 / (1 + np.exp(-np.clip(feats @ self.out + shift[0], -60, 60)))
                 g = (p - labels[pick]) / len(pick)
                 d_feats = g[:, None] * self.out
-                is_top = best == top[owner]
-                d_best = np.where(is_top, d_feats[owner, :FILTERS], 0) + d_feats[owner, FILTERS:] / size[owner][:, None]
+                size = np.diff(begin)
+                owner, half_owner = np.repeat(np.arange(len(pick)), size), np.repeat(np.arange(len(pick)), np.diff(edge))
+                d_best = np.where(best == feats[half_owner, :FILTERS], d_feats[half_owner, :FILTERS], 0)
+                filters = np.broadcast_to(np.arange(FILTERS), later.shape)
+                np.add.at(d_best, (first[:, None] + later, filters), d_feats[owner, FILTERS:] / size[owner][:, None])
                 d_best = np.where(best > 0, d_best, 0).astype(np.float32)
                 grads = [np.zeros_like(self.tables), d_best.sum(0), feats.T @ g + 1e-4 * self.out, np.array([g.sum()])]
-                filters = np.broadcast_to(np.arange(FILTERS), where.shape)
+                filters = np.broadcast_to(np.arange(FILTERS), place.shape)
                 for j in range(WIDTH):
-                    np.add.at(grads[0][j], (np.take_along_axis(data, where + j, 1), filters), d_best)
+                    np.add.at(grads[0][j], (data[place + j], filters), d_best)
                 step += 1
                 for q, grad, a, s in zip(params, grads, m, v, strict=True):
                     a += 0.1 * (grad - a)
@@ -121,31 +113,15 @@ class ByteCNN:
         return self
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, quality and up to KEPT half chunks of each text, evenly spread over all of it."""
-
-    def run(batches):
-        for b in batches:
-            offs, raw = text_buffers(b.column("text"))
-            out = []
-            for i in range(len(b)):
-                t = raw[offs[i] : offs[i + 1]].tobytes()
-                at = np.unique(np.linspace(0, max(1, -(-len(t) // HALF)) - 1, KEPT).round().astype(int)).tolist()
-                out.append(b"".join(t[h * HALF : h * HALF + _PIECE].ljust(_PIECE, b"\0") for h in at))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], names=["doc_id", "quality", "pieces"])
-
-    return in_batches(docs, run, "doc_id long, quality int, pieces binary")
-
-
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ByteCNN:
     """A network fitted to `limit` labelled documents at most, none of the held-out fold; without labels of both classes it has one score for all texts."""
     ok = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
     ok = ok.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ok), "doc_id")  # `limit` rows at most
-    rows = pieces(rows).groupBy("doc_id", "quality").agg(F.min("pieces").alias("pieces")).toPandas().sort_values("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ok), "doc_id")  # `limit` rows at most
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     net = ByteCNN()
     if rows.quality.nunique() > 1:
-        net.fit([np.frombuffer(x, np.uint8).reshape(-1, _PIECE) for x in rows.pieces], (rows.quality > 0).to_numpy(float))
+        net.fit([np.frombuffer(x.encode(), np.uint8) for x in rows.text], (rows.quality > 0).to_numpy(float))
     else:
         net.out[:] = 0
         net.shift = 4.0 if len(rows) and rows.quality.iloc[0] > 0 else -4.0 if len(rows) else 0.0

@@ -239,3 +239,31 @@ def test_trees_on_held_out_labels():
     judged = held & (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
     kept = trees.probability(x) >= 0.5
     assert (kept == good)[judged].mean() > 0.97 and (~good & judged).sum() > 20
+
+
+def test_cnn_against_a_plain_version():
+    """Features and gradients by loops over whole texts, longer than any slice of chunks."""
+    net, rng = quality_cnn.ByteCNN(3), np.random.default_rng(3)
+    half, width = quality_cnn.HALF, quality_cnn.WIDTH
+    texts = [b"", b"ab", bytes(rng.integers(0, 256, 700, dtype=np.uint8)), bytes(rng.integers(97, 123, half * 4, dtype=np.uint8)), b"q" * (half + 1)]
+
+    def plain(t):
+        halves = []
+        for a in range(0, max(len(t), 1), half):
+            piece = t[a : a + half + width - 1].ljust(half + width - 1, b"\0")
+            sums = np.array([sum(net.tables[j][piece[i + j]] for j in range(width)) for i in range(half)])
+            halves.append(np.maximum(sums.max(0) + net.bias, 0))
+        chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+        x = np.r_[np.max(chunks, 0), np.mean(chunks, 0)] @ net.out + net.shift
+        return 1 / (1 + np.exp(-x))
+
+    offs = np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = net.probability(offs, np.frombuffer(b"".join(texts), np.uint8))
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
+    labels = np.array([0, 1, 1, 0, 1.0])
+    loss = lambda: -np.mean(np.log(np.where(labels > 0, p := net.probability(offs, np.frombuffer(b"".join(texts), np.uint8)), 1 - p)))
+    before = loss()
+    net.fit([np.frombuffer(t, np.uint8) for t in texts], labels, epochs=60, rate=0.01)
+    assert loss() < before / 2
+    long = np.frombuffer(b"some words of a long text " * 100_000, np.uint8)
+    assert 0 <= net.probability(np.array([0, len(long)]), long)[0] <= 1
