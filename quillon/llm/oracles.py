@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over the whole tables."""
 
+from .url_filter import PATTERNS
+
 op1_substring_dedup = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, p, array_to_string(list_slice(ws, p, p + 49), ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
@@ -28,18 +30,22 @@ e AS (SELECT *, CASE WHEN ss > 0 THEN budget // ss ELSE 0 END AS epochs FROM p)
 SELECT doc_id, size, ss AS source_size, target, (epochs * size + least(greatest(budget - epochs * ss - before, 0), size))::BIGINT AS taken FROM e
 """
 
+def _fires(rule):
+    subject = {"host": "host", "page": "host || path", "url": "site"}[rule.scope]
+    return f"regexp_matches({subject}, '{rule.regex}')"
+
+
 op8_url_filter = r"""
 WITH a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS after FROM pages),
-b AS (SELECT page_id, translate(regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE
+b AS (SELECT page_id, translate(regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(after, ''), '(?s)^[^/?#]*([^#]*)', 1) AS rest FROM a),
+c AS (SELECT *, host || rest AS site, CASE
   WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
   WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
   WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
   WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
   WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM b)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(host, '(^|[^a-z0-9])(adult|adserver|bet|bets|betting|bingo|casino|casinos|doubleclick|escort|escorts|gambling|jackpot|lottery|payday|phishing|pills|poker|porn|sex|slots|spam|torrent|viagra|warez|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM c
-"""
+  WHEN """ + " OR ".join(map(_fires, PATTERNS)) + " THEN 'block' ELSE 'allow' END AS verdict FROM c"
 
 _ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
 _KINDS = (("assign", 0, _ASSIGN, f"length(regexp_extract(h, '{_ASSIGN}', 1)) >= 6"), ("access", 1, "AKIA[A-Z0-9]+", "length(h) >= 20"), ("hex", 2, "[0-9a-f]+", "length(h) >= 24"))

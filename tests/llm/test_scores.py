@@ -147,7 +147,8 @@ def test_url_filter(spark):
     assert [got[i][3] for i in range(15)] == ["block", "allow", "block", "allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block"]
     assert got[11][:2] == ("h", "/é") and got[8][:2] == ("", "") and got[14][:2] == ("bets.net", "")
     for r in url_filter.judge(df).collect():  # the index loses no rule
-        fits = [x for x in url_filter.LISTED + url_filter.WORDS if re.search(x.regex, r.host + r.path)]
+        at = {"host": r.host, "page": r.host + r.path, "url": r.host + (r.url or "").partition("://")[2][len(r.host) :].partition("#")[0]}
+        fits = [x for x in url_filter.LISTED + url_filter.PATTERNS if re.search(x.regex.replace(r"\z", r"\Z"), at[x.scope])]
         listed = [x for x in fits if x.listed]
         assert r.rule == (max(listed, key=lambda x: len(x.name)).name if listed else None)
         assert (r.fired is not None) == any(not x.listed for x in fits)
