@@ -15,7 +15,7 @@ SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(k) AS kept_s
 """
 
 op6_mixing = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5('mix' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM s),
 x AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1]::BIGINT AS wt, ss * 3 AS most FROM w),
@@ -25,7 +25,7 @@ y AS (SELECT *, row_number() OVER o AS rank,
   FROM x WINDOW o AS (ORDER BY most / wt, place)),
 f AS (SELECT rank AS frank, rest AS frest, share AS fshare FROM y WHERE rest * wt <= most * share ORDER BY rank LIMIT 1),
 t AS (SELECT source, ss, CASE WHEN rank >= frank THEN (wt * frest)::DOUBLE / fshare ELSE most::DOUBLE END AS target FROM y, f),
-p AS (SELECT doc_id, size, ss, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, floor(target + 0.5)::BIGINT AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT doc_id, size, ss, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, floor(target + 0.5)::BIGINT AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN ss > 0 THEN budget // ss ELSE 0 END AS epochs FROM p)
 SELECT doc_id, size, ss AS source_size, target, (epochs * size + least(greatest(budget - epochs * ss - before, 0), size))::BIGINT AS taken FROM e
 """

@@ -18,6 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .util import repeated
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = r"[A-Za-z0-9]+"
 _EDGE = r"(?:^|\z|[^A-Za-z0-9])"
@@ -103,7 +105,5 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame = LISTED + PATTERN
     own = F.when(fits, F.struct((F.col("verdict") == "allow").alias("first"), F.length("name").alias("size"), "name", "verdict"))
     listed = F.when(fits & F.col("listed"), F.struct(F.length("name").alias("size"), F.col("name"), F.col("verdict")))
     best = found.groupBy("page_id", "url", "copies", "host", "path").agg(F.max(listed).alias("best"), F.max(F.when(~F.col("listed"), own)).alias("fired"))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div 4096"))).alias("part")
-    best = best.select("page_id", "url", "host", "path", F.col("best.name").alias("rule"), F.col("fired.name").alias("fired"), F.coalesce("best.verdict", "fired.verdict", F.lit("allow")).alias("verdict"), "copies", copies)
-    best = best.withColumn("copy", F.explode(F.expr("sequence(1, least(4096, copies - part * 4096))")))
-    return best.drop("copies", "part", "copy")
+    best = best.select("page_id", "url", "host", "path", F.col("best.name").alias("rule"), F.col("fired.name").alias("fired"), F.coalesce("best.verdict", "fired.verdict", F.lit("allow")).alias("verdict"), "copies")
+    return repeated(best, "copies").drop("copy")

@@ -107,6 +107,13 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column `times` says (which becomes `copy`: 0, 1, ...); no array for it is longer than 4096 or a 4096th of that."""
+    parts = df.where(F.col(times) > 0).withColumn("part", F.explode(F.expr(f"sequence(0L, ({times} - 1) div 4096)")))
+    copy = F.explode(F.expr(f"sequence(part * 4096, least(part * 4096 + 4096, cast({times} as long)) - 1)"))
+    return parts.withColumn("copy", copy).drop("part", times)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where that is unset, a session within one process (tests) gets a temporary one; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

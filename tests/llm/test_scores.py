@@ -124,6 +124,25 @@ def test_mixing(spark, seed):
     assert mixing.mix(docs(spark, [])).collect() == []
 
 
+def test_mixing_of_equal_rows(spark):
+    """A document that is a third of all rows, and many rows of a null id, are cut like others."""
+    rows = [(7, "the same words again", "a")] * 300 + [(None, f"text {i} here", "a") for i in range(300)] + [(i, "one two", "b") for i in range(300)] + [(1, "long " * 300_000, "c")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    want = brute_targets(sizes)
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    whole = Counter()
+    for r in mixing.mixed_documents(docs(spark, rows)).selectExpr("source", "size(regexp_extract_all(text, '[^ ]+', 0)) n").collect():
+        whole[r.source] += r.n
+    assert all(abs(whole[s] - want[s]) <= (4 if s != "c" else 300_000) for s in sizes)
+
+
 def test_html_text(spark):
     page = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy the thing now and be of the</div><div id="cookie-notice"><p>We use cookies</p></div>
