@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, jaccard, mixing, quality_rules, secrets
-from quillon.llm.util import table, written
+from quillon.llm.util import discard, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that Jaccard similarities of 0.8 or more over five-word shingles join: a row of the group's smallest doc_id (of several such rows, the least fingerprint and text hash)."""
+    """One document of each group that Jaccard similarities of 0.8 or more over five-word shingles join, proposed by SimHash and by shared rare shingles: a row of the group's smallest doc_id (of several such rows, the least fingerprint and text hash)."""
     return jaccard.one_of_each(docs)
 
 
@@ -44,8 +44,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, "stage-" + name.replace(" ", "-"))
+            if before:
+                discard(before)  # the stage after it is written whole
+            before = docs
     return docs
