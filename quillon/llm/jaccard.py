@@ -131,22 +131,31 @@ def by_fingerprint(own: DataFrame, radius: int = 4) -> DataFrame:
     sims = written(own.groupBy("sim").agg(F.min("fp").alias("low")), "sims")
     same = own.join(sims, "sim").where("fp <> low").selectExpr("fp a", "low b")
     near = near_fingerprints(sims.selectExpr("sim fp"), radius)
-    near = near.join(sims.selectExpr("sim a", "low la"), "a").join(sims.selectExpr("sim b", "low lb"), "b").selectExpr("la a", "lb b")
+    near = near.groupBy("a").agg(F.min("b").alias("b")).join(sims.selectExpr("sim a", "low la"), "a").join(sims.selectExpr("sim b", "low lb"), "b").selectExpr("la a", "lb b")
     return same.union(near)
 
 
+def around_centres(shared: DataFrame) -> DataFrame:
+    """(a, b, na, nb, c): each set of shared(fp, n, shingle) with the centre of each of its buckets, c being how many of its buckets have that centre.
+
+    The centre of a bucket is the set whose buckets are the largest: of a text and its near copies the text itself, as each copy lacks some of what all others share."""
+    size = written(shared.groupBy("shingle").agg(F.count("*").alias("size")), "sizes")
+    score = written(shared.join(size, "shingle").groupBy("fp").agg(F.sum("size").alias("score")), "scores")
+    centre = shared.join(score, "fp").groupBy("shingle").agg(F.max(F.struct("score", "fp", "n")).alias("m"))
+    centre = written(centre.select("shingle", F.col("m.fp").alias("b"), F.col("m.n").alias("nb")), "centres")
+    return shared.join(centre, "shingle").where("fp <> b").groupBy(F.col("fp").alias("a"), "b").agg(F.first("n").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+
+
 def links(keyed: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of similar sets."""
     seen = in_batches(keyed.where(F.pmod(F.xxhash64(F.lit(SHARE), "text"), F.lit(SHARE)) == 0).select("text"), _all, "shingle long")
     often = seen.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(LAST)
     last = np.sort(np.array([r.shingle for r in often.collect()], np.int64)).view(np.uint64)
     rows = written(in_batches(keyed.select("text"), _prefixes(last), "fp long, n long, shingle long"), "prefixes")
-    buckets = written(rows.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle", "low"), "buckets")
-    shared = written(rows.join(buckets, "shingle").distinct(), "shared")
+    buckets = written(rows.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle"), "buckets")
+    shared = written(rows.join(buckets, "shingle", "left_semi").distinct(), "shared")
     discard(rows, buckets)
-    size = shared.groupBy("fp").agg(F.first("n").alias("n"))
-    stars = shared.where("fp <> low").groupBy("fp", "low").agg(F.first("n").alias("na"), F.count("*").alias("c"))
-    stars = stars.join(size.selectExpr("fp low", "n nb"), "low").selectExpr("fp a", "low b", "na", "nb", "c")
+    stars = written(around_centres(shared), "stars")
     proposed = by_fingerprint(own).union(may_be_alike(stars))
     near = alike(proposed.selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), keyed, own)
     roots = components(near).withColumnRenamed("node", "fp")
