@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import double_sha256, reversed_hex
+from .shared import shared_folder
 
 #: First byte (from 1) and bytes of each field of an 80-byte header; numbers are little-endian, hashes are shown in reverse.
 NUMBERS = {"version": (1, 4), "time": (69, 4), "bits": (73, 4), "nonce": (77, 4)}
@@ -36,9 +35,7 @@ def linked(df: DataFrame, order: str, name: str, prev: str, *keys: str) -> DataF
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

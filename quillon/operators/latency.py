@@ -52,3 +52,11 @@ def summary(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...
     """Average, least, greatest, count and percentiles per key, as of nearest_rank(), in one reading of df. `average`: what is made of the mean."""
     ranks = _ranked(df, keys, value, percents)
     return ranks.select(*keys, average(F.col("total") / F.col("n")).alias("avg_value"), F.col("least").alias("min_value"), F.col("most").alias("max_value"), "n", *(f"p{q}" for q in percents))
+
+
+def concurrency(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """summary() of the samples that are not 0, with the whole part of the average; a key whose samples are all 0 has a row of zeros."""
+    own = summary(df.where(F.col(value) != 0), keys, value, percents, lambda mean: F.floor(mean).cast("long"))
+    every = df.select(*keys).distinct()
+    same = functools.reduce(operator.and_, (every[k].eqNullSafe(own[k]) for k in keys))
+    return every.join(own, same, "left").select(*(every[k] for k in keys), *(F.coalesce(own[c], F.lit(0).cast(t)).alias(c) for c, t in own.dtypes if c not in keys))

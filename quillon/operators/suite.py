@@ -73,3 +73,24 @@ def rates(df: DataFrame) -> DataFrame:
     percent = lambda a, b: F.try_divide(F.col(a) * 100.0, F.when(F.col(b) > 0, F.col(b)))
     ipc = F.try_divide(F.col("instructions").cast("double"), F.when(F.col("cycles") > 0, F.col("cycles")))
     return df.withColumn("ipc", ipc).withColumn("cache_miss_percent", percent("cache_misses", "cache_references")).withColumn("branch_miss_percent", percent("branch_misses", "branches"))
+
+
+#: Which cases of a suite of measurements each measurement runs (patterns of case names), where not all of them.
+FILTERS = {"base58-bech32": "Base58|Bech32|GCSFilterDecode", "block-assembly": "AssembleBlock", "block-serialization": "BlockToJsonVerboseWrite|DeserializeAndCheckBlockTest|DeserializeBlockTest", "block-validation": "ConnectBlockAllSchnorr|ConnectBlockMixedEcdsaSchnorr|ConnectBlockAllEcdsa", "compact-block-encoding": "BlockEncoding", "duplicate-inputs": "DuplicateInputs", "mempool-operations": "ComplexMemPool|MempoolCheck|MempoolEviction|MempoolAccept", "merkle-tree": "MerkleRoot", "ripemd160": "BenchRIPEMD160", "script-verification": "VerifyScriptBench|VerifyNestedIfScript", "segwit": "ConnectBlock", "transaction-id": "TransactionIdCalculation", "transaction-serialization": "TransactionSerialization", "transaction-sighash": "TransactionSighashCalculation", "transaction-validation": "DeserializeAndCheckBlockTest", "utxo-caching": "CCoinsCaching|UTXOGet|UTXOInsert|UTXORemove"}
+
+
+def filter_table(spark, filters: dict[str, str] = FILTERS) -> DataFrame:
+    """measurement, pattern: a row for each entry."""
+    return spark.range(1).select(F.explode(F.create_map(*(F.lit(x) for kv in filters.items() for x in kv))).alias("measurement", "pattern"))
+
+
+def cases_of(cases: DataFrame, name: str, filters: DataFrame, most: int | None = None) -> DataFrame:
+    """measurement and case: the distinct case names that each measurement's pattern fits; with `most`, the first so many in order of name. Names are a suite's, not data."""
+    found = cases.select(F.col(name).alias("case")).where("case is not null").distinct()
+    found = found.join(F.broadcast(filters), F.rlike("case", F.col("pattern"))).groupBy("measurement").agg(F.sort_array(F.collect_list("case")).alias("cases"))
+    return found.select("measurement", F.explode(F.slice("cases", 1, most) if most else F.col("cases")).alias("case"))
+
+
+def best_known(estimate: Column, shown: Column) -> Column:
+    """A case's time from its estimates, or, where they lack it or say 0, the one that was shown; 0 if neither has one."""
+    return F.coalesce(F.when(estimate != 0, estimate), F.when(shown != 0, shown), F.lit(0.0))

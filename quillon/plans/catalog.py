@@ -64,8 +64,7 @@ def latency_summary(t):
 
 @query(f"SELECT user_id % 3 AS level, floor(avg(value))::BIGINT AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n, {_nr('value', 50, 95, 99)} FROM events WHERE value <> 0 GROUP BY 1")
 def latency_nonzero_levels(t):
-    d = t.events.where("value <> 0").withColumn("level", F.col("user_id") % 3)
-    return latency.summary(d, ["level"], "value", (50, 95, 99), lambda mean: F.floor(mean).cast("long"))
+    return latency.concurrency(t.events.withColumn("level", F.col("user_id") % 3), ["level"], "value")
 
 
 # comparison
@@ -105,7 +104,7 @@ def regression_summary(t):
     return regression_report(t).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS data_points, arg_min(value, {'t': ts, 'e': event_id}) AS first_value, arg_max(value, {'t': ts, 'e': event_id}) AS last_value, CASE WHEN arg_min(value, {'t': ts, 'e': event_id}) > 0 AND arg_max(value, {'t': ts, 'e': event_id}) > 0 THEN round((arg_max(value, {'t': ts, 'e': event_id}) - arg_min(value, {'t': ts, 'e': event_id})) / arg_min(value, {'t': ts, 'e': event_id}) * 100, 6) END AS change_percent FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS data_points, arg_min(value, {'t': ts, 'e': event_id}) AS first_value, arg_max(value, {'t': ts, 'e': event_id}) AS last_value, CASE WHEN arg_min(value, {'t': ts, 'e': event_id}) > 0 AND arg_max(value, {'t': ts, 'e': event_id}) > 0 THEN (arg_max(value, {'t': ts, 'e': event_id}) - arg_min(value, {'t': ts, 'e': event_id})) / arg_min(value, {'t': ts, 'e': event_id}) * 100 END AS change_percent FROM events GROUP BY event_type")
 def trend_first_last(t):
     return compare.trend(t.events, ["event_type"], "ts", "event_id", "value")
 
@@ -145,7 +144,10 @@ def assign_height(t):
 
 @query(f"SELECT o_orderkey, height FROM {_H} WHERE height % 100 = 0 OR height = 1")
 def every_nth(t):
-    return _heights(t).where("height % 100 = 0 or height = 1").select("o_orderkey", "height")
+    """Progress of a range: its second row and each hundredth one."""
+    d = t.orders.select("o_orderkey")
+    pick = lambda first, last, **kw: blocks.slice_heights(d, first, last, "o_orderkey", rows_per_range=4096, **kw)
+    return pick(0, 1 << 62, every=100).union(pick(1, 1)).select("o_orderkey", "height")
 
 
 @query(f"SELECT height // 1000 AS chunk, min(height) AS start_height, max(height) AS end_height, count(*) AS tested FROM {_H} GROUP BY 1")
@@ -163,7 +165,7 @@ def chunk_summary(t):
 
 @query(f"SELECT o_orderkey FROM {_H} WHERE height BETWEEN 250 AND 749")
 def range_slice(t):
-    return _heights(t).where("height between 250 and 749").select("o_orderkey")
+    return blocks.slice_heights(t.orders.select("o_orderkey"), 250, 749, "o_orderkey", rows_per_range=4096).select("o_orderkey")
 
 
 @query(f"SELECT chunk, (sum(n) OVER (ORDER BY chunk))::BIGINT AS upto FROM (SELECT height // 1000 AS chunk, count(*) AS n FROM {_H} GROUP BY 1)")
@@ -350,8 +352,8 @@ def code_by_module(t):
 @query(f"SELECT a.source, round(a.loc / b.loc, 2) AS loc_ratio, round(a.files / b.files, 2) AS files_ratio FROM ({_SIZE}) a, ({_SIZE}) b WHERE b.source = 'src0'")
 def code_ratio(t):
     d = code_size(t)
-    base = d.where("source = 'src0'").selectExpr("loc base_loc", "files base_files")  # one row
-    return d.join(F.broadcast(base)).select("source", F.round(F.try_divide("loc", "base_loc"), 2).alias("loc_ratio"), F.round(F.try_divide("files", "base_files"), 2).alias("files_ratio"))
+    base = lambda c: d.where("source = 'src0'").select(c).scalar()
+    return d.select("source", F.round(F.try_divide("loc", base("loc")), 2).alias("loc_ratio"), F.round(F.try_divide("files", base("files")), 2).alias("files_ratio"))
 
 
 @query("SELECT source, count(*) AS matching FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[#*$%&]{3}') GROUP BY source")
@@ -606,31 +608,47 @@ def block_frames_roundtrip(t):
     return d.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("SELECT event_id, xor(ascii(event_type), 132)::BIGINT AS first_byte FROM events")
+@query("SELECT event_id, string_agg(printf('%02X', xor(ascii(substr(event_type, i, 1)), [17, 34, 132][(i - 1) % 3 + 1])), '' ORDER BY i) AS coded, event_type AS plain FROM (SELECT event_id, event_type, unnest(range(1, length(event_type) + 1)) AS i FROM events) GROUP BY ALL")
 def xor_decode(t):
-    pad = F.lit(0x84)
-    return t.events.select("event_id", F.ascii("event_type").bitwiseXOR(pad).cast("long").alias("first_byte"))
+    """Whole names under a pad of three bytes, and back."""
+    pad = F.lit(bytearray([17, 34, 132]))
+    d = t.events.select("event_id", scalars.xor_bytes(F.col("event_type").cast("binary"), pad).alias("c"))
+    return d.select("event_id", F.hex("c").alias("coded"), scalars.xor_bytes(F.col("c"), pad).cast("string").alias("plain"))
 
 
 # beyond plain SQL, or with recursive SQL
 
 
-@query("SELECT event_id, CASE WHEN value > 0 AND value < 1e6 THEN value END AS number FROM events")
+def _varied(*docs: str):
+    """One of some documents by the event's number, with @ standing for its value."""
+    parts = [F.lit(d) for d in docs]
+    return F.replace(F.element_at(F.array(*parts), (F.col("event_id") % len(docs) + 1).cast("int")), F.lit("@"), F.col("value").cast("string"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN value > 0 AND value < 1e6 THEN value END WHEN 1 THEN 7 WHEN 2 THEN CASE WHEN value > 0 AND value < 1e6 THEN value ELSE 2.5 END END::DOUBLE AS number FROM events")
 def recursive_number_search(t):
-    doc = F.concat(F.lit('{"a":{"b":[{"x":0},{"y":"z","n":'), F.col("value").cast("string"), F.lit("}]},\"c\":-3}"))
+    """Over documents of several shapes: nested lists, numbers before and after, texts and flags that are no numbers, no document."""
+    doc = _varied('{"a":{"b":[{"x":0},{"y":"z","n":@}]},"c":-3}', '[true,"5",[[7]],@]', '{"k":{"deep":[2000000,{"z":@}]},"last":2.5}', '{"only":"text","list":[]}', "no document @")
     return t.events.select("event_id", scalars.first_number(doc).alias("number"))
 
 
-@query()
+_LEAF = "sha256(l_partkey || ':' || l_suppkey || ':' || l_linenumber)"
+_TWICE = "sha256(unhex(sha256(unhex({a} || {b}))))"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT l_orderkey AS k, 0 AS level, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_LEAF}) - 1 AS i, {_LEAF} AS h, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+r AS (SELECT * FROM l UNION ALL SELECT k, level + 1, i // 2, {_TWICE.format(a='h', b='coalesce(h2, h)')}, (n + 1) // 2 FROM (SELECT *, lead(h) OVER (PARTITION BY k, level ORDER BY i) AS h2 FROM r) WHERE n > 1 AND i % 2 = 0)
+SELECT k AS l_orderkey, h AS root FROM r WHERE n = 1""")
 def merkle_roots(t):
     leaf = F.struct("l_linenumber", F.sha2(F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber"), 256).alias("leaf"))
     d = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))  # an order's lines, a handful
     return d.select("l_orderkey", scalars.merkle_root(F.col("leaves.leaf")).alias("root"))
 
 
-@query("SELECT event_id, CASE WHEN value > 0 THEN value END AS time_ms FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN value > 0 THEN value END WHEN 1 THEN 3 WHEN 2 THEN CASE WHEN value > 0 THEN value ELSE 4 END END::DOUBLE AS time_ms FROM events")
 def recursive_time_search(t):
-    doc = F.concat(F.lit('{"a":{"b":[{"time_ms":0},{"total_time":'), F.col("value").cast("string"), F.lit("}]}}"))
+    """Over documents of several shapes: keys in any case and place, zeros, texts and flags under time-like keys, no document."""
+    doc = _varied('{"a":{"b":[{"time_ms":0},{"total_time":@}]}}', '{"x":@,"Sync_TIME":3,"time":9}', '{"list":[1,{"time":"8"},{"runTimeNs":@}],"zz":{"time":4}}', '{"time":{"value":@},"times":null,"is_time":true}', "[broken @")
     return t.events.select("event_id", scalars.first_time(doc).alias("time_ms"))
 
 
@@ -646,6 +664,9 @@ def utxo_fold(t):
     return blocks.fold_groups(d, "user_id", "event_id", "amount")
 
 
+from . import reports  # noqa: E402, F401  its queries join the ones above
+
+
 @query("SELECT event_id // 1000 AS chunk, count(*) AS records FROM events GROUP BY 1")
 def stream_chunks(t):
     return stream.counted(t.spark, f"{t.sf_dir}/events.parquet", "event_id", 1000)

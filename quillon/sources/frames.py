@@ -8,6 +8,7 @@ Options:
   counted true: a 64-bit count comes first, and a file with another number of records is an error
   resync  true: a record whose length is out of range ends at the next magic; false: it ends the file
   least, most   bytes of a record
+  missing warn (or nothing): a number of a file between two others that is not there gives a row that says so (`corrupt`)
   per_file, start, limit   records of each numbered file (`..._7...`), first height and number of heights: other files are not opened
 A record is magic, its length (32 bits, little-endian), its bytes. A wrong magic or a cut record ends the file; what was read before stands, and a last row
 without payload says what was wrong (`corrupt`). A file is held as one record and a read buffer, never whole.
@@ -23,6 +24,8 @@ import struct
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BUFFER = 1 << 20
+#: Bytes of a file that can hold a record: shorter ones in a folder are left out, before any is opened.
+LEAST_FILE = 8
 
 
 def xor(data: bytes, key: bytes, offset: int = 0) -> bytes:
@@ -134,7 +137,8 @@ def decode_frames(data: bytes, magic: bytes = b"", key: bytes = b"", least: int
             yield n, payload
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
+    """pyarrow's file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -144,7 +148,7 @@ def listed(path: str) -> list[str]:
     """Files of a path in order of name; hidden ones are left out."""
     from pyarrow import fs
 
-    where, at = _filesystem(path)
+    where, at = filesystem(path)
     prefix = path[: len(path) - len(at)] if "://" in path and path.endswith(at) else ""
     folder, _, name = at.rstrip("/").rpartition("/")
     if not re.search(r"[*?\[]", name):
@@ -153,7 +157,7 @@ def listed(path: str) -> list[str]:
             return [prefix + at]
         folder, name = at.rstrip("/"), "*"
     found = where.get_file_info(fs.FileSelector(folder or "/"))
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, name) and f.base_name[0] not in "._")
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.size >= LEAST_FILE and fnmatch.fnmatch(f.base_name, name) and f.base_name[0] not in "._")
 
 
 class FrameSource(DataSource):
@@ -186,12 +190,18 @@ class FrameReader(DataSourceReader):
             if per_file and (first is None or first + per_file <= start or (stop is not None and first >= stop)):
                 continue
             out.append(InputPartition((f, first)))
+        if per_file and self.options.get("missing") == "warn":
+            have = {p.value[1] // per_file for p in out}
+            out += [InputPartition((None, n * per_file)) for n in range(min(have, default=0), max(have, default=-1)) if n not in have]
         return out
 
     def read(self, partition):
         o, (path, first) = self.options, partition.value
         per_file, start, stop = self._range()
-        where, at = _filesystem(path)
+        if path is None:
+            yield None, None, first, None, "missing"
+            return
+        where, at = filesystem(path)
         with where.open_input_stream(at, compression=None) as stream:
             if o.get("zstd", "false") == "true":
                 import zstandard

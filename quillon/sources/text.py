@@ -61,8 +61,12 @@ def headed_times(df: DataFrame, order: str, line: str, *keys: str) -> DataFrame:
 
 
 def manifest_features(spark: SparkSession, path: str) -> DataFrame:
-    """A row per manifest file: its features, those that are default ones, and how many are not. Features are the names of section [features]."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    """features_of() the manifest files at a path."""
+    return features_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def features_of(d: DataFrame) -> DataFrame:
+    """A row per manifest (file, value): its features, those that are default ones, and how many are not. Features are the names of section [features]."""
     section = F.regexp_extract("value", r"(?s)(?:^|\n)\s*\[features\]\s*\n(.*?)(?:\n\s*\[|\z)", 1)
     names = F.filter(F.regexp_extract_all(section, F.lit(r"(?m)^\s*([A-Za-z0-9_-]+)\s*="), F.lit(1)), lambda n: n != "default")
     default = F.regexp_extract_all(F.regexp_extract(section, r"(?m)^\s*default\s*=\s*\[([^\]]*)\]", 1), F.lit('"([^"]+)"'), F.lit(1))

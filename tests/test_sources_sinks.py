@@ -31,10 +31,10 @@ def test_documents(spark, tmp_path):
 def test_key_values_and_counters(spark, tmp_path):
     (tmp_path / "a.meta").write_text("# c\ntotal_blocks=10\nnum_chunks = 2\n")
     (tmp_path / "b.meta").write_text("total_blocks=10\n")
-    got = documents.key_values(spark, str(tmp_path / "*.meta"), ["total_blocks", "num_chunks"]).collect()
+    got = documents.key_values(documents.lines_of(spark, str(tmp_path / "*.meta")), ["total_blocks", "num_chunks"]).collect()
     assert [(r.total_blocks, r.num_chunks) for r in got] == [("10", "2")]
     (tmp_path / "p.csv").write_text("100,,cycles\n200,,instructions\n<not counted>,,cache-misses\n")
-    r = documents.counters(spark, str(tmp_path / "p.csv"), {"cycles": "cycles", "instructions": "instr", "misses": "cache-misses"}).first()
+    r = documents.counters(documents.lines_of(spark, str(tmp_path / "p.csv")), {"cycles": "cycles", "instructions": "instr", "misses": "cache-misses"}).first()
     assert (r.cycles, r.instructions, r.misses) == (100, 200, 0)
 
 
