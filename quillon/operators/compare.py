@@ -11,10 +11,16 @@ def pair(df: DataFrame, key: str, side: Column, value: str, sides: tuple[str, st
     return df.groupBy(key).agg(*(F.round(F.avg(F.when(side == s, F.col(value))), 4).alias(f"{s}_time_ms") for s in sides))
 
 
-def winner(df: DataFrame, a: str = "core_time_ms", b: str = "commons_time_ms") -> DataFrame:
-    """The faster side and its speedup; a tie is the first side's. Both times must be positive."""
+def judged(df: DataFrame, a: str = "core_time_ms", b: str = "commons_time_ms") -> DataFrame:
+    """Adds the faster side and its speedup; a tie is the first side's. Null where not both times are positive."""
     first, second = F.col(a), F.col(b)
-    return df.where((first > 0) & (second > 0)).withColumn("winner", F.when(first > second, "commons").otherwise("core")).withColumn("speedup", F.round(F.greatest(first, second) / F.least(first, second), 2))
+    both = (first > 0) & (second > 0)
+    return df.withColumn("winner", F.when(both, F.when(first > second, "commons").otherwise("core"))).withColumn("speedup", F.when(both, F.round(F.greatest(first, second) / F.least(first, second), 2)))
+
+
+def winner(df: DataFrame, a: str = "core_time_ms", b: str = "commons_time_ms") -> DataFrame:
+    """judged() rows whose times are both positive."""
+    return judged(df.where((F.col(a) > 0) & (F.col(b) > 0)), a, b)
 
 
 def regressions(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, threshold: float = 0.10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_number, first_time
-from ..operators.compare import winner
+from ..operators.compare import judged
 from ..operators.suite import estimates
 
 #: Where each side's documents keep their time, in the order of trust; `section` is the side's block-validation part, a top-level
@@ -93,40 +93,49 @@ def not_empty(doc: Column) -> Column:
     return F.coalesce(F.size(F.json_object_keys(doc)) > 0, F.lit(False))
 
 
+def _sided(rows: DataFrame, **parts: Column) -> DataFrame:
+    """One row per bench_key: both sides' times (null where a side is missing), winner, speedup, and for each part a column {side}_{part} of that side."""
+    parts = {"time_ms": F.col("time_ms"), **parts}
+    own = [F.max(F.when(F.col("impl") == s, c)).alias(f"{s}_{name}") for s in SECTION for name, c in parts.items()]  # a row for each key and side
+    return judged(rows.groupBy("bench_key").agg(*own))
+
+
 def consolidated(rows: DataFrame) -> DataFrame:
-    """One row per bench_key with both sides' times (null where a side is missing), winner and speedup."""
-    side = lambda s: F.max(F.when(F.col("impl") == s, F.col("time_ms"))).alias(f"{s}_time_ms")
-    paired = rows.groupBy("bench_key").agg(side("core"), side("commons"))
-    return paired.join(winner(paired).select("bench_key", "winner", "speedup"), "bench_key", "left")
+    """One row per bench_key of measurements() with both sides' times (null where a side is missing), winner and speedup."""
+    return _sided(rows)
 
 
 def report_entries(rows: DataFrame) -> DataFrame:
     """bench_key and entry: a measurement's part of the consolidated report as JSON, in order of key. rows: measurements(). Fields without a value are left out."""
-    part = lambda s: F.max(F.when(F.col("impl") == s, F.struct("time_ms", F.col("file").alias("source_file"), "error", F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))).alias(s)
-    d = rows.groupBy("bench_key").agg(part("core"), part("commons")).join(consolidated(rows), "bench_key")
+    part = F.struct("time_ms", F.col("file").alias("source_file"), "error", F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    d = _sided(rows, part=part)
     comparison = F.when(F.col("winner").isNotNull(), F.struct("winner", "speedup", "core_time_ms", "commons_time_ms"))
-    return d.select("bench_key", F.to_json(F.struct(F.col("bench_key").alias("name"), "core", "commons", comparison.alias("comparison"))).alias("entry")).orderBy("bench_key")
+    entry = F.struct(F.col("bench_key").alias("name"), F.col("core_part").alias("core"), F.col("commons_part").alias("commons"), comparison.alias("comparison"))
+    return d.select("bench_key", F.to_json(entry).alias("entry")).orderBy("bench_key")
 
 
 def report_summary(rows: DataFrame) -> DataFrame:
     """One row: how many measurements there are, of each side, and how many can be compared."""
-    d = consolidated(rows).join(rows.groupBy("bench_key").agg(*(F.max((F.col("impl") == s).cast("int")).alias(s) for s in ("core", "commons"))), "bench_key")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return d.agg(F.count("*").alias("total_benchmarks"), total("core").alias("core_benchmarks"), total("commons").alias("commons_benchmarks"), F.count("winner").alias("comparisons"))
+    d = _sided(rows, there=F.lit(1))
+    return d.agg(F.count("*").alias("total_benchmarks"), F.count("core_there").alias("core_benchmarks"), F.count("commons_there").alias("commons_benchmarks"), F.count("winner").alias("comparisons"))
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
     """The flat report (CSV_HEADER) of measurements(): a row per side, and one for the comparison where there is one. Statistics are those of the first case in a document's list."""
     statistics = F.get_json_object("doc", "$.benchmarks[0].statistics")
-    stats, spread = estimates(statistics), F.get_json_object(statistics, "$.std_dev").try_cast("double")
+    spread = F.get_json_object(statistics, "$.std_dev").try_cast("double")
     ns = F.coalesce(F.get_json_object("doc", "$.benchmarks[0].time_ns").try_cast("double"), F.col("time_ms") * 1e6)
-    own = rows.withColumn("s", stats).select(
-        "bench_key", F.initcap("impl").alias("side"), F.col("time_ms"), ns.alias("ns"), "s.mean.point_estimate", F.col("s.median.point_estimate").alias("median"), F.coalesce("s.std_dev", spread).alias("std_dev"), "s.mean.confidence_interval.*",
-        F.when(F.col("time_ms") > 0, F.round(1000 / F.col("time_ms"), 2)).alias("ops"), F.lit(None).cast("string").alias("winner"), F.lit(None).cast("double").alias("speedup"),
+    none = F.lit(None).cast("double")
+    names = ("key", "side", "ms", "ns", "mean", "median", "std_dev", "low", "high", "level", "ops", "winner", "speedup")
+    row = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+    mean = F.col("s.mean.confidence_interval")
+    side = row(
+        F.col("bench_key"), F.initcap("impl"), F.col("time_ms"), ns, F.col("s.mean.point_estimate"), F.col("s.median.point_estimate"), F.coalesce("s.std_dev", spread), mean["lower_bound"], mean["upper_bound"], mean["confidence_level"],
+        F.when(F.col("time_ms") > 0, F.round(1000 / F.col("time_ms"), 2)), F.lit(None).cast("string"), none,
     )
-    none = [F.lit(None).cast("double")] * 9
-    both = consolidated(rows).where("winner is not null").select("bench_key", F.lit("Comparison"), *none, "winner", "speedup")
-    return own.union(both).toDF(*CSV_HEADER)
+    d = _sided(rows.withColumn("s", estimates(statistics)), row=side)
+    comparison = F.when(F.col("winner").isNotNull(), row(F.col("bench_key"), F.lit("Comparison"), *[none] * 9, F.col("winner"), F.col("speedup")))
+    return d.select(F.inline(F.array_compact(F.array("core_row", "commons_row", comparison)))).toDF(*CSV_HEADER)
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
