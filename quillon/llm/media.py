@@ -136,7 +136,9 @@ def padded(text: bytes) -> bytes:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary): each text (null: empty), padded with bytes 0 to a positive multiple of 64, as a transport stream."""
+    """doc_id, n_bytes, media (binary): each text (null: empty), padded with bytes 0 to a positive multiple of 64, as a transport stream.
+
+    A text of any length is one stream; repeated rows come back as often, an empty table gives none; other columns are left out."""
 
     def run(batches):
         for b in batches:
@@ -149,7 +151,9 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """Reads the streams back: doc_id, n_bytes, payload facts, stream facts, timestamps (array of ticks) and random-access points."""
+    """Reads the streams back: doc_id, n_bytes, payload facts, stream facts, timestamps (array of ticks) and random-access points.
+
+    Null ids stay, repeated rows come back as often, an empty table gives none. A stream with a wrong length or sync byte, and a null one, is an error."""
 
     def run(batches):
         for b in batches:

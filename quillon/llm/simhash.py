@@ -240,9 +240,10 @@ def grouped(own: DataFrame, linked) -> DataFrame:
     roots = components(linked(distinct.select("fp")))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     member = written(member, "members")
-    low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(low, "root").select("fp", "component_id")
-    return own.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id", "text_hash")
+    low = written(member.groupBy("root").agg(F.min("low").alias("component_id")), "low")  # a table, so that a large component's members can be split
+    named = written(member.join(low, "root").select("fp", "component_id"), "named")
+    discard(distinct, member, low)
+    return own.join(named, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
