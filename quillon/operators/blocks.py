@@ -62,7 +62,7 @@ def output_set(outputs: DataFrame, spends: DataFrame, *key: str, size: int, pari
     steps = made.union(taken)
     if not parity:
         stop = verdicts.where("not valid").agg(F.min("height").alias("stop"))  # one row
-        steps = steps.join(F.broadcast(stop), F.coalesce(F.col("height") < F.col("stop"), F.lit(True)), "inner").drop("stop")
+        steps = steps.where(F.coalesce(F.col("height") < stop.scalar(), F.lit(True)))
     chunks = steps.groupBy(chunk_of(F.col("height"), size).alias("chunk")).agg(F.sum("n").alias("n"))
     return chunks.select("chunk", F.sum("n").over(Window.orderBy("chunk")).alias("unspent"))  # a row per chunk
 

@@ -306,12 +306,16 @@ def output_states(t):
     return blocks.output_set(*_spending(t, 9), "k", "l", size=250, parity=True)
 
 
-_STRICT = _VERDICTS.format(s=_SPEND.format(0))
+#: Spends of which one alone is invalid, at three quarters of the heights.
+_STRICT = _VERDICTS.format(s=f"(SELECT k, l, s.height AS height, s.\"at\" AS \"at\" FROM (SELECT k, l, min({{'height': p.height, 'at': p.\"at\"}}) AS s FROM {_SPEND.format(0)} p SEMI JOIN {_OUT} q USING (k, l) GROUP BY k, l) UNION ALL SELECT -1, 0, max(l_orderkey) * 3 // 4, 0 FROM lineitem)")
 
 
 @query(_STATE.format(v=_STRICT, w=f" WHERE height < coalesce((SELECT min(height) FROM {_STRICT} WHERE NOT valid), 1 << 62)"))
 def output_states_until_invalid(t):
-    return blocks.output_set(*_spending(t, 0), "k", "l", size=250)
+    out, spends = _spending(t, 0)
+    spends = spends.join(out.select("k", "l"), ["k", "l"], "left_semi").groupBy("k", "l").agg(F.min(F.struct("height", "at")).alias("s")).select("k", "l", "s.*")
+    bad = t.lineitem.selectExpr("-1L k", "0 l", "max(l_orderkey) * 3 div 4 height", "0L at")
+    return blocks.output_set(out, spends.union(bad), "k", "l", size=250)
 
 
 @query(f'SELECT k, l, height, "at", valid FROM {_VERDICTS.format(s=_SPEND.format(9))}')
