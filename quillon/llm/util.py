@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and \t\n\v\f\r (ASCII white space, as bytes.split()).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that numpy works on at once, and that Spark sends to Python at once (one row at least).
-SLICE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
 
 _U = np.uint64
 _WS = np.zeros(256, bool)
